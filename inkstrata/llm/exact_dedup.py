@@ -27,7 +27,7 @@ CHUNK = 1 << 16
 #: Longer texts (bytes) are hashed in chunks by several tasks.
 HUGE_BYTES = 4 << 20
 #: A group is compared in streams of about so many rows.
-STREAM_ROWS = 4_096
+STREAM_ROWS = 256
 
 
 def _powers(prime: int, base: int) -> np.ndarray:
