@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import exact_dedup, language, mixing, ngram, packing, pii, quality, secrets, sharding, simhash
 
 
@@ -67,7 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_kneser_ney, op2_genetic_packing, op3_stratified_shards, op4_weak_supervision, op5_simhash_near_dedup,
         op6_byte_network, op7_bootstrapped_pii, op8_zstd_secrets, op9_exact_dedup, op10_pfair_mix,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 #: Without null ids or repeated rows, of which the tests take care.
