@@ -75,23 +75,25 @@ def without_speaker(c: Column) -> Column:
     return strip(F.regexp_replace(c, SPEAKER, ""))
 
 
-def is_filler(c: Column) -> Column:
-    own = without_speaker(c)
+def is_filler(own: Column) -> Column:
+    """Of a sentence without its speaker."""
     return own.rlike(FILLER) | (F.length(own) < 20)
 
 
-def proposition_score(c: Column) -> Column:
-    """How much a sentence looks like a stated fact, 0 to 1."""
-    own = without_speaker(c)
+def own_score(own: Column) -> Column:
+    """How much a sentence (without its speaker) looks like a stated fact, 0 to 1."""
     n = F.length(own)
     score = F.lit(0.15) + F.when(own.rlike(FACT_CUES), 0.55).otherwise(0.0) + F.when(own.rlike(r"(?U)\d"), 0.2).otherwise(0.0)
     score = score + F.when((n >= 40) & (n <= 280), 0.15).when(n > 400, -0.2).otherwise(0.0)
-    return F.when(is_filler(c), 0.0).otherwise(F.least(score, F.lit(1.0)))
+    return F.when(is_filler(own), 0.0).otherwise(F.least(score, F.lit(1.0)))
+
+
+def proposition_score(c: Column) -> Column:
+    return own_score(without_speaker(c))
 
 
-def proposition_text(c: Column) -> Column:
-    """Without the speaker, and with a full stop if it has no terminator."""
-    own = without_speaker(c)
+def own_text(own: Column) -> Column:
+    """With a full stop if a sentence has no terminator."""
     return F.when(own.rlike(r"[.!?]\z"), own).otherwise(F.concat(F.regexp_replace(own, r"[;,]+\z", ""), F.lit(".")))
 
 

@@ -9,63 +9,68 @@ from ..config import Chunking
 from ..functions import text as T
 
 
-def sections(text: Column, told: Column | None = None) -> Column:
-    """array<struct<section, body>>: heading lines start a section and are removed; blank sections are dropped.
+def sections(docs: DataFrame, text: str = "text", told: str | None = None) -> DataFrame:
+    """Adds parts, array<struct<section, body>>: heading lines start a section and are removed; blank sections are dropped.
 
-    Without a heading line the whole text is one section, as it is.
+    Without a heading line the whole text is one section, as it is. Steps are columns of their own, so that Spark computes each
+    once (an expression that is used inside a lambda is evaluated for every element).
     """
-    lines = F.split(T.text_of(text), T.LINE_BREAK, -1)
-    names = F.transform(lines, lambda x: T.heading(T.strip(x)))
-    first = T.detect_section(text, told)
-    at = F.filter(F.transform(names, lambda n, i: F.when(n.isNotNull(), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(-1)), at)
+    lines = docs.withColumn("_text", T.text_of(F.col(text))).withColumn("_lines", F.split("_text", T.LINE_BREAK, -1))
+    named = lines.withColumn("_names", F.transform(F.transform("_lines", T.strip), T.heading)).withColumn("_first", T.detect_section(F.col("_text"), F.col(told) if told else None))
+    at = F.filter(F.transform("_names", lambda n, i: F.when(n.isNotNull(), i)), lambda i: i.isNotNull())
+    placed = named.withColumn("_starts", F.concat(F.array(F.lit(-1)), at))
 
     def block(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(lines))
-        body = T.strip(F.array_join(F.slice(lines, start + 2, F.greatest(end - start - 1, F.lit(0))), "\n"))
-        return F.struct(F.when(start < 0, first).otherwise(F.get(names, start)).alias("section"), body.alias("body"))
+        end = F.coalesce(F.get("_starts", k + 1), F.size("_lines"))
+        body = F.array_join(F.slice("_lines", start + 2, F.greatest(end - start - 1, F.lit(0))), "\n")
+        return F.struct(F.when(start < 0, F.col("_first")).otherwise(F.get("_names", start)).alias("section"), body.alias("body"))
 
-    parts = F.filter(F.transform(starts, block), lambda x: x["body"] != "")
-    return F.when(F.size(at) == 0, F.array(F.struct(first.alias("section"), T.text_of(text).alias("body")))).otherwise(parts)
+    blocks = F.transform(F.transform("_starts", block), lambda x: F.struct(x["section"].alias("section"), T.strip(x["body"]).alias("body")))
+    whole = F.array(F.struct(F.col("_first").alias("section"), F.col("_text").alias("body")))
+    parts = F.when(F.size("_starts") == 1, whole).otherwise(F.filter(blocks, lambda x: x["body"] != ""))
+    return placed.withColumn("parts", parts).drop("_text", "_lines", "_names", "_first", "_starts")
 
 
-def windows(sents: Column, c: Chunking = Chunking()) -> Column:
-    """array<struct<start, end, sents, text>>: overlapping runs of sentences; the last is the first that reaches the end."""
-    n = F.size(sents)
+def starts(n: Column, c: Chunking = Chunking()) -> Column:
+    """Where the windows over n sentences start; the last is the first that reaches the end."""
     last = F.greatest(F.ceil((n - c.window) / c.stride), F.lit(0)).cast("int") * c.stride
-    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(c.stride))).otherwise(F.array().cast("array<int>"))
+    return F.when(n > 0, F.sequence(F.lit(0), last, F.lit(c.stride))).otherwise(F.array().cast("array<int>"))
 
-    def window(i: Column) -> Column:
-        own = F.slice(sents, i + 1, F.lit(c.window))
-        line = T.squeeze(F.array_join(own, " "))
-        cut = F.when(F.length(line) > c.max_chars, F.regexp_replace(F.substring(line, 1, c.max_chars), r" [^ ]*\z", "")).otherwise(line)
-        return F.struct(i.alias("start"), (i + F.size(own) - 1).alias("end"), own.alias("sents"), cut.alias("text"), F.length(line).alias("chars"))
 
-    return F.filter(F.transform(starts, window), lambda w: w["chars"] >= c.min_chars)
+def rated(sents: Column) -> Column:
+    """array<struct<minus, text>> of sentences: the score with its sign turned, and the proposition's text."""
+    return F.transform(F.transform(sents, T.without_speaker), lambda own: F.struct((-T.own_score(own)).alias("minus"), T.own_text(own).alias("text")))
 
 
-def propositions(sents: Column, most: int = 8, min_score: float = 0.45) -> Column:
-    """array<struct<text, source_sentence_index, score>>: the best-scored sentences; the index counts within ``sents``."""
-    scored = F.transform(sents, lambda s, i: F.struct((-T.proposition_score(s)).alias("minus"), i.alias("i"), T.proposition_text(s).alias("text")))
-    good = F.slice(F.array_sort(F.filter(scored, lambda x: -x["minus"] >= min_score)), 1, most)
+def best(rates: Column, most: int = 8, min_score: float = 0.45) -> Column:
+    """array<struct<text, source_sentence_index, score>>: the best-rated of a window; the index counts within it."""
+    numbered = F.transform(rates, lambda x, i: F.struct(x["minus"].alias("minus"), i.alias("i"), x["text"].alias("text")))
+    good = F.slice(F.array_sort(F.filter(numbered, lambda x: -x["minus"] >= min_score)), 1, most)
     return F.transform(good, lambda x: F.struct(x["text"].alias("text"), x["i"].alias("source_sentence_index"), F.round(-x["minus"], 3).alias("score")))
 
 
 def split_sections(docs: DataFrame, text: str = "text", told: str | None = None) -> DataFrame:
     """One row a section: the columns of ``docs`` but for the text, block (from 0), section, body."""
     rest = [c for c in docs.columns if c != text]
-    return docs.select(*rest, F.posexplode(sections(F.col(text), F.col(told) if told else None)).alias("block", "s")).select(*rest, "block", "s.*")
+    return sections(docs, text, told).select(*rest, F.posexplode("parts").alias("block", "s")).select(*rest, "block", "s.*")
 
 
 def chunk(docs: DataFrame, c: Chunking = Chunking(), told: str | None = None) -> DataFrame:
     """Chunks of records (source_id, text, pos, ...): pos, block, chunk_id, source_id, section, text, start_sentence,
-    end_sentence, propositions. (pos, block, start_sentence) is their order."""
+    end_sentence, propositions. (pos, block, start_sentence) is their order.
+
+    Sentences are found and rated once a section; windows are slices of these.
+    """
     parts = split_sections(docs.select("pos", "source_id", "text", *([told] if told else [])), told=told)
-    wide = parts.select("pos", "source_id", "block", "section", F.explode(windows(T.sentences(F.col("body")), c)).alias("w"))
+    rows = parts.withColumn("sents", T.sentences(F.col("body"))).withColumn("rates", rated(F.col("sents"))).withColumn("starts", starts(F.size("sents"), c))
+    window = F.transform("starts", lambda i: F.struct(i.alias("start"), F.slice("sents", i + 1, F.lit(c.window)).alias("own"), F.slice("rates", i + 1, F.lit(c.window)).alias("rates")))
+    wide = rows.select("pos", "source_id", "block", "section", F.explode(window).alias("w"))
+    wide = wide.withColumn("line", T.squeeze(F.array_join("w.own", " "))).where(F.length("line") >= c.min_chars)
+    cut = F.when(F.length("line") > c.max_chars, F.regexp_replace(F.substring("line", 1, c.max_chars), r" [^ ]*\z", "")).otherwise(F.col("line"))
+    wide = wide.withColumn("text", cut).withColumn("start_sentence", F.col("w.start")).withColumn("end_sentence", F.col("w.start") + F.size("w.own") - 1)
     return wide.select(
-        "pos", "block", T.chunk_id(F.col("source_id"), F.col("section"), F.col("w.start"), F.col("w.end"), F.col("w.text")).alias("chunk_id"), "source_id", "section",
-        F.col("w.text").alias("text"), F.col("w.start").alias("start_sentence"), F.col("w.end").alias("end_sentence"),
-        propositions(F.col("w.sents"), c.max_propositions, c.min_score).alias("propositions"),
+        "pos", "block", T.chunk_id(F.col("source_id"), F.col("section"), F.col("start_sentence"), F.col("end_sentence"), F.col("text")).alias("chunk_id"), "source_id", "section",
+        "text", "start_sentence", "end_sentence", best(F.col("w.rates"), c.max_propositions, c.min_score).alias("propositions"),
     )
 
 

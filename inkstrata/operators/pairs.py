@@ -34,10 +34,11 @@ def citations(chunk_id: Column, props: Column, text: Column) -> Column:
     return F.when(F.size(props) > 0, found).otherwise(spare)
 
 
-def answer(task: str, chunk_id: Column, section: Column, props: Column) -> Column:
+def facts(chunk_id: Column, props: Column) -> Column:
+    """The part of an answer that all tasks share: bullets and citations."""
     bullets = F.array_join(F.transform(props, lambda p: F.concat(F.lit("- "), p["text"])), "\n")
     cites = F.array_join(F.transform(props, lambda p: F.concat(chunk_id, F.lit("#s"), p["source_sentence_index"].cast("string"))), "; ")
-    return F.concat(_filled(LEADS[task], T.section_label(section)), F.lit("\n"), bullets, F.lit("\n\nCitations: "), cites, F.lit(CLOSING))
+    return F.concat(F.lit("\n"), bullets, F.lit("\n\nCitations: "), cites, F.lit(CLOSING))
 
 
 def generate(chunks: DataFrame, c: Pairing = Pairing(), rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -49,16 +50,18 @@ def generate(chunks: DataFrame, c: Pairing = Pairing(), rewrite: Callable[[Colum
     props = F.filter("propositions", lambda p: T.strip(p["text"]) != "")
     spare = F.array(F.struct(F.substring(T.strip(F.col("text")), 1, 280).alias("text"), F.col("start_sentence").alias("source_sentence_index"), F.lit(0.0).alias("score")))
     rows = chunks.where(T.strip(F.col("text")) != "").withColumn("props", props).withColumn("used", F.when(F.size("props") > 0, F.col("props")).otherwise(spare))
-    label = T.section_label(F.col("section"))
+    rows = rows.withColumn("label", T.section_label(F.col("section"))).withColumn("facts", facts(F.col("chunk_id"), F.col("used")))
+    rows = rows.withColumn("cites", citations(F.col("chunk_id"), F.col("props"), F.col("text")))
+    label = F.col("label")
     asked = [("qa", t) for t in QA_TEMPLATES[: c.max_qa]] + [("summary", SUMMARY_TEMPLATE)] * c.summary
     if not asked:
         rows = rows.where(F.lit(False))
         asked = [("summary", SUMMARY_TEMPLATE)]
     made = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.lit(task).alias("task"), _filled(t, label).alias("instruction"), answer(task, F.col("chunk_id"), F.col("section"), F.col("used")).alias("draft"))
+        F.struct(F.lit(k).alias("k"), F.lit(task).alias("task"), _filled(t, label).alias("instruction"), F.concat(_filled(LEADS[task], label), "facts").alias("draft"))
         for k, (task, t) in enumerate(asked)
     ])
-    wide = rows.withColumn("cites", citations(F.col("chunk_id"), F.col("props"), F.col("text"))).withColumn("m", F.explode(made))
+    wide = rows.withColumn("m", F.explode(made))
     draft = F.col("m.draft")
     if rewrite is not None:
         prompt = F.concat(
