@@ -52,19 +52,20 @@ def best(rates: Column, most: int = 8, min_score: float = 0.45) -> Column:
 def split_sections(docs: DataFrame, text: str = "text", told: str | None = None) -> DataFrame:
     """One row a section: the columns of ``docs`` but for the text, block (from 0), section, body."""
     rest = [c for c in docs.columns if c != text]
-    return sections(docs, text, told).select(*rest, F.posexplode("parts").alias("block", "s")).select(*rest, "block", "s.*")
+    return sections(docs, text, told).select(*rest, F.posexplode_outer("parts").alias("block", "s")).where("s is not null").select(*rest, "block", "s.*")
 
 
 def chunk(docs: DataFrame, c: Chunking = Chunking(), told: str | None = None) -> DataFrame:
     """Chunks of records (source_id, text, pos, ...): pos, block, chunk_id, source_id, section, text, start_sentence,
     end_sentence, propositions. (pos, block, start_sentence) is their order.
 
-    Sentences are found and rated once a section; windows are slices of these.
+    Sentences are found and rated once a section; windows are slices of these. (From a plain explode the optimizer infers a filter
+    on the array's size and so computes the array twice.)
     """
     parts = split_sections(docs.select("pos", "source_id", "text", *([told] if told else [])), told=told)
     rows = parts.withColumn("sents", T.sentences(F.col("body"))).withColumn("rates", rated(F.col("sents"))).withColumn("starts", starts(F.size("sents"), c))
     window = F.transform("starts", lambda i: F.struct(i.alias("start"), F.slice("sents", i + 1, F.lit(c.window)).alias("own"), F.slice("rates", i + 1, F.lit(c.window)).alias("rates")))
-    wide = rows.select("pos", "source_id", "block", "section", F.explode(window).alias("w"))
+    wide = rows.select("pos", "source_id", "block", "section", F.explode_outer(window).alias("w")).where("w is not null")
     wide = wide.withColumn("line", T.squeeze(F.array_join("w.own", " "))).where(F.length("line") >= c.min_chars)
     cut = F.when(F.length("line") > c.max_chars, F.regexp_replace(F.substring("line", 1, c.max_chars), r" [^ ]*\z", "")).otherwise(F.col("line"))
     wide = wide.withColumn("text", cut).withColumn("start_sentence", F.col("w.start")).withColumn("end_sentence", F.col("w.start") + F.size("w.own") - 1)

@@ -25,7 +25,10 @@ QUERY_BLOCK = 4_096
 
 @dataclass
 class Index:
-    """postings (doc_id, term, tf), docs (doc_id, len), df (term, df), stats (one row: n, avgdl)."""
+    """postings (doc_id, len, term, tf), docs (doc_id, len), df (term, df), stats (one row: n, avgdl).
+
+    Postings know their document's length, so scoring needs no join with the documents.
+    """
 
     postings: DataFrame
     docs: DataFrame
@@ -35,9 +38,23 @@ class Index:
 
 def build_index(docs: DataFrame) -> Index:
     """Documents without a token count in n and avgdl, too."""
-    counted = docs.select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
-    postings = counted.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lens = counted.select("doc_id", F.size("tokens").cast("long").alias("len"))
+    counted = _counted(docs)
+    return _index(counted, _exploded(counted, "doc_id", "len"))
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", T.search_tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
+
+
+def _exploded(rows: DataFrame, *keep: str) -> DataFrame:
+    """A row a token. From a plain explode the optimizer infers a filter on the array's size and so computes the array twice."""
+    return rows.select(*keep, F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
+def _index(counted: DataFrame, hits: DataFrame) -> Index:
+    """Hits are dealt by document once: term frequencies, and later the scores of a query and document, need no other shuffle."""
+    postings = hits.repartition("doc_id").groupBy("doc_id", "term").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
+    lens = counted.select("doc_id", "len")
     return Index(postings, lens, postings.groupBy("term").agg(F.count("*").alias("df")), stats(lens))
 
 
@@ -47,7 +64,7 @@ def stats(lens: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): a repeated term counts again."""
-    return queries.select("query_id", F.explode(T.search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    return _exploded(queries.select("query_id", T.search_tokens(F.col("query")).alias("tokens")), "query_id").groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -57,11 +74,8 @@ def _small(df: DataFrame) -> DataFrame:
 def index_for(docs: DataFrame, queries: DataFrame) -> Index:
     """An index of the queries' terms only: documents are read once, and other tokens end in the scan's own stage."""
     terms = query_terms(queries).select("term").distinct()
-    counted = docs.select("doc_id", T.search_tokens(F.col("text")).alias("tokens"))
-    hits = counted.select("doc_id", F.explode("tokens").alias("term")).join(_small(terms), "term", "left_semi")
-    postings = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    lens = counted.select("doc_id", F.size("tokens").cast("long").alias("len"))
-    return Index(postings, lens, postings.groupBy("term").agg(F.count("*").alias("df")), stats(lens))
+    counted = _counted(docs)
+    return _index(counted, _exploded(counted, "doc_id", "len").join(_small(terms), "term", "left_semi"))
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -76,8 +90,7 @@ def bm25_scores(index: Index, queries: DataFrame, c: Retrieval = Retrieval()) ->
     weighted = query_terms(queries).join(index.df, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w"))
     norm = c.k1 * (1 - c.b + c.b * F.greatest("len", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
     part = F.col("w") * (F.col("tf") * (c.k1 + 1) / (F.col("tf") + norm))
-    found = index.postings.join(_small(weighted), "term").join(index.docs, "doc_id")
-    return found.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return index.postings.join(_small(weighted), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(index: Index, queries: DataFrame, k: int = 10, c: Retrieval = Retrieval(), pad: bool = True) -> DataFrame:
@@ -98,7 +111,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, c: Retrieval = Retrieval
 
 def hash_weights(docs: DataFrame, dim: int = 128) -> DataFrame:
     """(doc_id, idx, weight): the non-zero places of hashed, normalised embeddings. Each distinct token of a document is hashed once."""
-    terms = docs.select("doc_id", F.explode(T.search_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    terms = _exploded(_counted(docs), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     index, sign = T.hash_place(F.col("term"), dim)
     sums = terms.groupBy("doc_id", index.alias("idx")).agg(F.sum(F.col("tf") * sign).alias("w")).where("w != 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))

@@ -40,7 +40,7 @@ def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     whole = passages.withColumn("w", words(F.col("query")))
     keyed = whole.where(F.size("w") >= 7).select("query_id", "query", F.array_join(inner, " ").alias("key"))
     runs = docs.select("doc_id", words(F.col("text")).alias("w")).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 5), " ")))).alias("key")
+        "doc_id", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 5), " ")))).alias("key")
     )
     n = passages.count()
     near = runs.join(F.broadcast(keyed) if n <= retrieval.BROADCAST_ROWS else keyed, "key").select("doc_id", "query_id", "query").distinct()
