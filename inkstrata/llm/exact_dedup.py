@@ -26,8 +26,8 @@ FIELDS = ((2_147_483_647, 1_315_423_911), (2_147_483_629, 1_020_304_057))
 CHUNK = 1 << 16
 #: Longer texts (bytes) are hashed in chunks by several tasks.
 HUGE_BYTES = 4 << 20
-#: A group is compared in streams of about so many rows.
-STREAM_ROWS = 256
+#: A group up to this size is compared in one stream; a larger one in as many streams as each has rows.
+STREAM_ROWS = 64
 
 
 def _powers(prime: int, base: int) -> np.ndarray:
@@ -155,10 +155,10 @@ def _stream(rows: DataFrame) -> DataFrame:
 def clashes(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """Fingerprints (of groups: fp, n > 1) under which the streams found different texts.
 
-    Only texts that share a fingerprint are shuffled. A large group is dealt over n / STREAM_ROWS streams; the streams'
-    first rows are then compared with each other.
+    Only texts that share a fingerprint are shuffled. A group of n > STREAM_ROWS rows is dealt over sqrt(n) streams of about
+    sqrt(n) rows; the streams' first rows are then compared with each other.
     """
-    shared = groups.where("n > 1").select("fp", F.ceil(F.col("n") / STREAM_ROWS).alias("salts"))
+    shared = groups.where("n > 1").select("fp", F.when(F.col("n") <= STREAM_ROWS, F.lit(1).cast("long")).otherwise(F.ceil(F.sqrt("n"))).alias("salts"))
     with_fp = docs.mapInArrow(_with_fp, _fields(docs) + ", fp long")
     rows = by_size(with_fp, shared, "fp", "inner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
     found = stash(_stream(rows), "compared")
