@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -28,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
         if spark.sparkContext.master.startswith("local["):
-            told = "file://" + tempfile.mkdtemp(prefix="inkstrata-")
+            folder = tempfile.mkdtemp(prefix="inkstrata-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            told = f"file://{folder}"
         else:
             told = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkstrata"
         spark.conf.set("spark.checkpoint.dir", told)

@@ -9,7 +9,10 @@ from .common import stash
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """(u, v) with m, the least neighbour of u."""
+    """(u, v) with m, the least neighbour of u.
+
+    The minimum is taken before the shuffle; of the join, whose right side has one row a node, Spark splits the hubs' partitions.
+    """
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 

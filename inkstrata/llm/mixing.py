@@ -71,7 +71,7 @@ def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temp
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     in_source, total = ranked(rows, seed, ["doc_id", "text_hash"])
     in_source = stash(in_source, "in_source")
-    sizes = {r["_stratum"]: r["_n"] for r in in_source.select("_stratum", "_n").distinct().limit(MOST_SOURCES + 1).collect()}
+    sizes = {r["_stratum"]: r["_n"] for r in sorted(in_source.select("_stratum", "_n").distinct().limit(MOST_SOURCES + 1).collect())}
     if len(sizes) > MOST_SOURCES:
         raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
     name = lambda s: "null" if s is None else f"={s}"

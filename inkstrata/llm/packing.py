@@ -119,7 +119,6 @@ def _epoch(frames: Iterator[pd.DataFrame], most: int, epoch: int, size: int, chi
             lens = np.asarray(r.lens, np.int64)
             people = [np.asarray(p, np.int32) for p in r.people] if r.people is not None else []
             guest = np.asarray(r.guest, np.int32) if r.guest is not None else None
-            # A full first fit at the lower bound can't be improved.
             found = evolve(lens, people, guest, most, hash((int(r.block), int(r.island), epoch)) & 0xFFFFFFFF, size, children)
             out.append((r.block, r.island, r.lens, [p.tolist() for p in found], fitness(found[0], lens, most)))
         yield pd.DataFrame(out, columns=["block", "island", "lens", "people", "fit"])
@@ -157,7 +156,7 @@ def pack_pieces(found: DataFrame, most: int = 1024, block: int = BLOCK, islands:
     items = stash(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("_uid", *cols))).alias("items")), "blocks")
     lens = items.select("block", F.transform("items", lambda x: x["length"].cast("int")).alias("lens"))
     kind = "block long, island int, lens array<int>, people array<array<int>>, fit double"
-    state = lens.crossJoin(found.sparkSession.range(islands).select(F.col("id").cast("int").alias("island"))).withColumn("people", F.lit(None).cast("array<array<int>>"))
+    state = lens.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("people", F.lit(None).cast("array<array<int>>"))
     n_tasks = max(1, min(n_blocks * islands, found.sparkSession.sparkContext.defaultParallelism * 4))
     for epoch in range(epochs):
         if epoch:

@@ -78,18 +78,16 @@ def variants(radius: int) -> list[int]:
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) that connect all pairs at distance ``radius`` or less.
+    """(u, v): links between distinct fingerprints (column fp) that connect all pairs at distance ``radius`` (even) or less.
 
-    For an odd radius one side of a pair must reach one bit further than the other, so every variant within the
-    upper half is emitted; then a meeting pair may be too far apart and is dropped by the check of its distance.
+    All that meet at a variant are within radius / 2 of it and so within the radius of each other: a star around the least of
+    them connects them, and no more pairs than members are made.
     """
-    half = (radius + 1) // 2
-    masks = F.array(*[F.lit(m).cast("long") for m in variants(half)])
+    if radius % 2:
+        raise ValueError("the radius must be even, for two halves of it to meet")
+    masks = F.array(*[F.lit(m).cast("long") for m in variants(radius // 2)])
     near = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
     met = near.join(near.groupBy("variant").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "variant")
-    if radius % 2:  # a star around the least member isn't enough here: members can be radius + 1 apart
-        other = near.select("variant", F.col("fp").alias("least"))
-        met = near.join(other, "variant").where("fp > least")
     pairs = met.where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 

@@ -323,7 +323,7 @@ def brute_groups(rows: list[tuple], radius: int) -> list:
     return [(d, fps[i], min((x for x in least[find(i)] if x is not None), default=None)) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize("radius", [0, 2, 4])
 @pytest.mark.parametrize("which", ["edge", "chains"])
 def test_simhash(spark, edge, which, radius, monkeypatch):
     rng = random.Random(7)
@@ -346,6 +346,8 @@ def test_simhash(spark, edge, which, radius, monkeypatch):
 
 
 def test_links_find_all_close_pairs(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash.links(spark.createDataFrame([], "fp long"), 3)
     rng = random.Random(9)
     fps = [rng.getrandbits(64) for _ in range(40)]
     fps += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in fps * 3] + [0, 1, 3, 7, 15, 31]
