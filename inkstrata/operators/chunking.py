@@ -59,19 +59,24 @@ def chunk(docs: DataFrame, c: Chunking = Chunking(), told: str | None = None) ->
     """Chunks of records (source_id, text, pos, ...): pos, block, chunk_id, source_id, section, text, start_sentence,
     end_sentence, propositions. (pos, block, start_sentence) is their order.
 
+    If there is a column metadata (map<string,string>), its section wins over what the text says, and it is kept with the chunk's.
     Sentences are found and rated once a section; windows are slices of these. (From a plain explode the optimizer infers a filter
     on the array's size and so computes the array twice.)
     """
-    parts = split_sections(docs.select("pos", "source_id", "text", *([told] if told else [])), told=told)
+    meta = ["metadata"] if "metadata" in docs.columns else []
+    if meta and told is None:
+        docs, told = docs.withColumn("_told", F.try_element_at("metadata", F.lit("section"))), "_told"
+    parts = split_sections(docs.select("pos", "source_id", "text", *meta, *([told] if told else [])), told=told)
     rows = parts.withColumn("sents", T.sentences(F.col("body"))).withColumn("rates", rated(F.col("sents"))).withColumn("starts", starts(F.size("sents"), c))
     window = F.transform("starts", lambda i: F.struct(i.alias("start"), F.slice("sents", i + 1, F.lit(c.window)).alias("own"), F.slice("rates", i + 1, F.lit(c.window)).alias("rates")))
-    wide = rows.select("pos", "source_id", "block", "section", F.explode_outer(window).alias("w")).where("w is not null")
+    wide = rows.select("pos", "source_id", "block", "section", *meta, F.explode_outer(window).alias("w")).where("w is not null")
     wide = wide.withColumn("line", T.squeeze(F.array_join("w.own", " "))).where(F.length("line") >= c.min_chars)
     cut = F.when(F.length("line") > c.max_chars, F.regexp_replace(F.substring("line", 1, c.max_chars), r" [^ ]*\z", "")).otherwise(F.col("line"))
     wide = wide.withColumn("text", cut).withColumn("start_sentence", F.col("w.start")).withColumn("end_sentence", F.col("w.start") + F.size("w.own") - 1)
     return wide.select(
         "pos", "block", T.chunk_id(F.col("source_id"), F.col("section"), F.col("start_sentence"), F.col("end_sentence"), F.col("text")).alias("chunk_id"), "source_id", "section",
         "text", "start_sentence", "end_sentence", best(F.col("w.rates"), c.max_propositions, c.min_score).alias("propositions"),
+        *[F.map_concat(F.map_filter(m, lambda k, _: ~k.isin("text", "section")), F.create_map(F.lit("section"), F.col("section"))).alias(m) for m in meta],
     )
 
 

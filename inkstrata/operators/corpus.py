@@ -11,8 +11,16 @@ ORDER = ("pos", "block", "start_sentence")
 
 
 def dedupe(chunks: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
-    """Of equal chunk ids the first non-blank one stays, with n_propositions in place of the propositions."""
-    rows = chunks.where(T.strip(F.col("text")) != "").withColumn("n_propositions", F.size("propositions")).drop("propositions")
+    """Of equal chunk ids the first non-blank one stays, with n_propositions (also in the metadata) in place of the propositions.
+
+    Rows without an id get the one that their content gives.
+    """
+    own = T.chunk_id(F.col("source_id"), F.col("section"), F.col("start_sentence"), F.col("end_sentence"), F.col("text"))
+    rows = chunks.where(T.strip(F.col("text")) != "").withColumn("chunk_id", F.coalesce(F.nullif(F.col("chunk_id"), F.lit("")), own))
+    rows = rows.withColumn("n_propositions", F.size("propositions")).drop("propositions")
+    if "metadata" in rows.columns:
+        count = F.create_map(F.lit("n_propositions"), F.col("n_propositions").cast("string"))
+        rows = rows.withColumn("metadata", F.map_concat(F.map_filter("metadata", lambda k, _: k != "n_propositions"), count))
     w = Window.partitionBy("chunk_id").orderBy(*order)
     return rows.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +47,7 @@ def candidates(pairs: DataFrame, corpus_ids: DataFrame, excluded: DataFrame | No
     first = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     own = F.coalesce(F.nullif(F.col("pair_id"), F.lit("")), F.col("chunk_id"))
     return first.select(
+        "ord",
         T.query_id(own, F.col("query")).alias("query_id"), "query", F.array("chunk_id").alias("gold_chunk_ids"), F.nullif(T.strip(T.text_of(F.col("output"))), F.lit("")).alias("gold_answer"),
         F.lit("grounded_pair").alias("source"), "pair_id", F.coalesce(F.nullif(F.col("task"), F.lit("")), F.lit("qa")).alias("task"),
         F.coalesce(F.nullif(F.col("source_id"), F.lit("")), F.lit("unknown")).alias("source_id"),
@@ -61,6 +64,41 @@ def round_robin(rows: DataFrame, c: EvalSet = EvalSet()) -> DataFrame:
     return turn.orderBy("_turn", mark(F.col("source_id"), F.col("task")), "source_id", "task").limit(c.size).drop("_turn")
 
 
+def shuffled_sample(rows: DataFrame, c: EvalSet = EvalSet(), most: int = 200_000) -> list[str]:
+    """The query ids that a seeded Mersenne twister's shuffle of candidates (in order of ``ord``) and the same turns give, sorted.
+
+    For results that must equal those of one machine: three short columns of at most ``most`` candidates come to the driver.
+    """
+    if rows.count() > most:
+        raise ValueError(f"more than {most} candidates; use round_robin")
+    listed = [(r["source_id"], r["task"], r["query_id"]) for r in rows.select("ord", "source_id", "task", "query_id").orderBy("ord").collect()]
+    twister = random.Random(c.seed)
+    twister.shuffle(listed)
+    queues: dict[tuple[str, str], deque[str]] = {}
+    for source, task, query in listed:
+        queues.setdefault((source, task), deque()).append(query)
+    turn = list(queues)
+    twister.shuffle(turn)
+    found: dict[str, None] = {}
+    while turn and len(found) < c.size:
+        for key in turn:
+            if len(found) < c.size:
+                found.setdefault(queues[key].popleft())
+        turn = [key for key in turn if queues[key]]
+    return sorted(found)
+
+
+def eval_manifest(chosen: DataFrame) -> DataFrame:
+    """One row: n_queries, n_unique_gold_chunks."""
+    golds = chosen.select(F.explode_outer("gold_chunk_ids").alias("g"))
+    return chosen.agg(F.count("*").alias("n_queries")).crossJoin(F.broadcast(golds.agg(F.count_distinct("g").alias("n_unique_gold_chunks"))))  # one row
+
+
+def themes(panel: DataFrame) -> DataFrame:
+    """Sorted distinct themes of a panel."""
+    return panel.select("theme").distinct().orderBy("theme")
+
+
 def missing_gold(rows: DataFrame, corpus_ids: DataFrame) -> DataFrame:
     """Gold ids that the corpus lacks; an evaluation set is sound if there are none."""
     gold = rows.select("query_id", F.explode("gold_chunk_ids").alias("chunk_id"))

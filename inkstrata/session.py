@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,8 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode and the warehouse on a cluster."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
-        local = spark.sparkContext.master.startswith("local[")
-        told = "file://" + tempfile.mkdtemp(prefix="inkstrata-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkstrata"
+        if spark.sparkContext.master.startswith("local["):
+            folder = tempfile.mkdtemp(prefix="inkstrata-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            told = f"file://{folder}"
+        else:
+            told = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkstrata"
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkstrata.config import Chunking, EvalSet, Filtering, Pairing, Selection, Settings, load_settings
 from inkstrata.functions import text as T
 from inkstrata.operators import chunking, dedup, evaluation, filtering, pairs, retrieval, selection, similarity
+from inkstrata.plans import corpus as corpus_plan
 from inkstrata.plans import dataset, rag
 from inkstrata.sources import catalog, readers, writers
 
@@ -246,6 +247,34 @@ def test_candidates_and_missing_gold(spark):
     assert evaluation.missing_gold(got, ids).count() == 0 and evaluation.missing_gold(got, ids.where("chunk_id = 'c1'")).count() == 1
 
 
+def test_shuffled_sample(spark):
+    rows = [(i, f"q{i % 50}", f"s{i % 3}", "qa") for i in range(60)]
+    df = spark.createDataFrame(rows, "ord long, query_id string, source_id string, task string").repartition(4)
+    got = evaluation.shuffled_sample(df, EvalSet(size=20))
+    assert got == sorted(set(got)) and len(got) == 20 == len(evaluation.shuffled_sample(df.repartition(2), EvalSet(size=20))) and got == evaluation.shuffled_sample(df, EvalSet(size=20))
+    assert len(evaluation.shuffled_sample(df, EvalSet(size=500))) == 50 and evaluation.shuffled_sample(df.where("false")) == []
+    with pytest.raises(ValueError, match="round_robin"):
+        evaluation.shuffled_sample(df, most=10)
+
+
+def test_corpus_flow(spark, tmp_path):
+    found, told = corpus_plan.build(spark)
+    assert told["n_chunks"] == found.count() == 4 and told["n_documents"] == 3 and told["input_path"] is None
+    meta = {r["section"]: r["metadata"] for r in found.collect()}
+    assert meta["prepared_remarks"]["ticker"] == "AAPL" and meta["prepared_remarks"]["section"] == "prepared_remarks" and "n_propositions" in meta["qa"]
+    rows = chunking.chunk(catalog.load_all(spark)).drop("pos", "block")
+    writers.json_lines(rows.unionByName(rows.withColumn("chunk_id", F.lit(""))), str(tmp_path / "chunks"))
+    again, told = corpus_plan.build(spark, str(tmp_path / "chunks"))
+    assert again.count() == 5 and told["input_path"]  # the four, and those without an id, which count as one unknown chunk
+    assert corpus_plan.build(spark, str(tmp_path / "none"))[1]["n_chunks"] == 4
+
+
+def test_manifest_and_themes(spark):
+    rows = spark.createDataFrame([("a", ["c1", "c2"]), ("b", ["c1"])], "query_id string, gold_chunk_ids array<string>")
+    assert tuple(evaluation.eval_manifest(rows).first()) == (2, 2)
+    assert [r["theme"] for r in evaluation.themes(spark.createDataFrame([("b",), ("a",), ("b",)], "theme string")).collect()] == ["a", "b"]
+
+
 def test_catalog(spark):
     assert catalog.catalog(spark).count() == 3 and catalog.load_all(spark).count() == 4 and len(catalog.license_notes()) == 4
     with pytest.raises(KeyError, match="fiqa"):
