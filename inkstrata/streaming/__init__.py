@@ -1,5 +1,4 @@
-"""Increments. The reference has no streaming; chunking and pairs work within a row, so they run on a stream of documents as they
-are, and the corpus grows by what each batch adds."""
+"""Increments. Chunking and pairs work within a row, so they run on a stream of documents as they are, and the corpus grows by what each batch adds."""
 
 from __future__ import annotations
 
