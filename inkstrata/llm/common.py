@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Above this many rows of (long) keys nothing is broadcast; a shuffle join takes over.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 #: A key is hot if it holds at least 1/HOT_SHARE of all rows, so there are never more than HOT_SHARE hot keys.
 HOT_SHARE = 1_000
 #: Arrow batches are worked on in slices of at most this many bytes of text.

@@ -213,9 +213,18 @@ def identify(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     return docs.mapInArrow(partial(_predict, net=net), f"doc_id {kind}, lang_pred string, score double")
 
 
+def _keep(batches: Iterator[pa.RecordBatch], net: Network, text_col: str, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (in a struct, so that their names can't clash) whose language is told. The text is a view of the struct's field."""
+    pairs = net.pairs() if net.labels else ()
+    for batch in batches:
+        rows = batch.column(0)
+        for b in slices(iter([pa.RecordBatch.from_arrays([rows, rows.field(text_col)], names=["row", "text"])])):
+            good = [x != "und" and p >= least for x, p in predict(net, pairs, utf8(b))]
+            yield pa.RecordBatch.from_arrays([b.column("row").filter(pa.array(good, pa.bool_()))], names=["row"])
+
+
 def keep_identified(df: DataFrame, net: Network, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose language can't be told: ``und``, or a score under ``least``; columns unchanged."""
-    judged = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ddl = f"row {judged.schema['row'].dataType.simpleString()}, lang_pred string, score double"
-    found = judged.mapInArrow(partial(_predict, net=net), ddl)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"))
+    ddl = f"row {rows.schema['row'].dataType.simpleString()}"
+    return rows.mapInArrow(partial(_keep, net=net, text_col=text_col, least=least), ddl).select("row.*")
