@@ -1,11 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base patterns find emails, IP addresses, card and phone numbers in every whole text; these are the seeds. The words around a
-seed induce lexical patterns (two words before; the word before and the word after; one word before with its punctuation).
+seed induce lexical patterns (two words before; the word before and the word after; a label that ends in a colon or the like).
 Identifier-like words (with a digit or an @) in other places are instances of the patterns around them. Spark scores the
-graph of patterns and instances in rounds: a pattern is as good as the share of its instances that are known, an instance as
-good as its good patterns. Words in a place that a pattern of high confidence describes are reported as ``context`` spans;
-base spans always stay.
+graph of patterns and instances in rounds: a pattern is as good as the share of all its occurrences, before ordinary words, too,
+that are before known instances; an instance is as good as its good patterns. Words in a place that a pattern of high confidence
+describes are reported as ``context`` spans; base spans always stay.
 
 Defined cases: null text is the empty text; null or repeated doc_ids are rows like any other; without seeds there are no
 patterns and only base spans; an empty table gives an empty result; other columns are never looked at.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import xxhash
@@ -27,6 +28,8 @@ from .spans import Span, all_of, joined
 KINDS = ("email", "ip", "card", "phone", "context")
 #: A pattern needs so many different seeds, and this share of known instances; an instance this score.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
+#: Patterns that a scan for their occurrences takes at once.
+MOST_PATTERNS = 100_000
 
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,26 +83,54 @@ def _mark(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts).encode(), 7) - (1 << 63)
 
 
-def _words_before(text: str, at: int, n: int) -> list[str]:
-    """The last n words before a place, looked for in a bounded stretch."""
-    return [w.lower() for w in text[max(0, at - 200) : at].split()[-n:]]
+LABEL = re.compile(r"[^:=#]*[:=#]")
+NEXT_WORD = re.compile(r"\S*\s+(\S+)")
 
 
-def patterns(text: str, start: int, end: int) -> list[int]:
-    """Marks of the lexical patterns around a span. Words made of digits count as equal."""
-    plain = lambda w: DIGIT.sub("0", w)
-    before = [plain(w) for w in _words_before(text, start, 2)]
-    after = [plain(w.lower()) for w in text[end : end + 100].split()[:1]]
+def plain(words: str) -> str:
+    """Lower case, all digits equal."""
+    return DIGIT.sub("0", words.lower())
+
+
+def patterns(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns around a span, from whole words before and after those that it touches."""
+    at = start
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    before = plain(text[max(0, at - 200) : at]).split()[-2:]
+    after = NEXT_WORD.match(text[end : end + 200])
     out = []
     if len(before) == 2:
-        out.append(_mark("two", *before))
+        out.append(" ".join(["two", *before]))
     if before and after:
-        out.append(_mark("both", before[-1], after[0]))
-    if before and before[-1][-1] in ":=#":
-        out.append(_mark("label", before[-1]))
+        out.append(" ".join(["both", before[-1], plain(after[1])]))
+    label = LABEL.fullmatch(plain(text[at:start])) if at < start else LABEL.fullmatch(before[-1]) if before else None
+    if label:
+        out.append(f"label {label[0]}")
     return out
 
 
+def occurrences(text: str, known: dict[str, set[str]]) -> dict[str, int]:
+    """How often each known pattern occurs in a text, whatever word is in its place. known: patterns by their first word."""
+    words, found = plain(text).split(), {}
+    n = len(words)
+
+    def add(name: str, group: set[str]) -> None:
+        if name in group:
+            found[name] = found.get(name, 0) + 1
+
+    labels = known.get("label", set())
+    for i, w in enumerate(words):
+        if (group := known.get("=" + w)) is not None:
+            if i + 1 < n:
+                add(f"two {w} {words[i + 1]}", group)
+            if i + 2 < n:
+                add(f"both {w} {words[i + 2]}", group)
+        if labels and (m := LABEL.match(w)):
+            add(f"label {m[0]}", labels)
+    return found
+
+
 def instances(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
     """Identifier-like words outside the base spans: at least 4 characters, with an @ or two digits."""
     if "@" not in text and not DIGIT.search(text):
@@ -123,7 +154,7 @@ def instances(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base figures of each text, and its places: (pattern, instance, known, start, end)."""
-    place = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("known", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())]))
+    place = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("known", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())]))
     for b in slices(batches):
         spans, places = [], []
         for raw in utf8(b):
@@ -137,20 +168,50 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, pa.string()), pa.array(places, place)], names=["doc_id", "base", "places"])
 
 
-def good_patterns(places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern) of high confidence, from places (pattern, instance, known).
+def _count(batches: Iterator[pa.RecordBatch], known: dict[str, set[str]]) -> Iterator[pa.RecordBatch]:
+    """Occurrences in each batch, summed."""
+    for b in slices(batches):
+        total: dict[str, int] = {}
+        for raw in utf8(b):
+            for name, n in occurrences(raw.decode(), known).items():
+                total[name] = total.get(name, 0) + n
+        yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(total), pa.string()), "seen": pa.array(list(total.values()), pa.int64())})
+
+
+def totals(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(pattern, seen): occurrences of patterns in all texts. Patterns go to the tasks in blocks of bounded size, a scan each."""
+    out, block = docs.sparkSession.createDataFrame([], "pattern string, seen long"), []
+
+    def scan() -> DataFrame:
+        known: dict[str, set[str]] = {}
+        for name in block:
+            kind, first, *_ = name.split(" ")
+            known.setdefault("label" if kind == "label" else "=" + first, set()).add(name)
+        return stash(docs.select("text").mapInArrow(partial(_count, known=known), "pattern string, seen long").groupBy("pattern").agg(F.sum("seen").alias("seen")), "seen")
+
+    for r in names.select("pattern").toLocalIterator():
+        block.append(r["pattern"])
+        if len(block) == MOST_PATTERNS:
+            out, block = out.unionByName(scan()), []
+    return out.unionByName(scan()) if block else out
+
+
+def good_patterns(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(pattern) of high confidence, from places (pattern, instance, known) of docs (text).
 
-    Edges are counted once, whatever the number of places. Every round is one aggregate over patterns, one join of the good
-    ones back to their edges and one aggregate over instances; nothing is collected.
+    Edges are counted, whatever the number of places. Every round is one aggregate over patterns, one join of the good
+    ones back to their edges and one aggregate over instances; nothing but candidate patterns, in blocks, comes to the driver.
     """
-    edges = stash(places.groupBy("pattern", "instance").agg(F.max("known").alias("known")), "edges")
+    edges = stash(places.groupBy("pattern", "instance").agg(F.max("known").alias("known"), F.count("*").alias("places")), "edges")
     # Only patterns with enough seeds can ever be good enough, so the others' edges aren't carried along.
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("known").alias("seeds")).where(f"seeds >= {support}")
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("places").alias("own"), F.count_if("known").alias("seeds")).where(f"seeds >= {support}")
+    sizes = stash(sizes, "sizes")
+    seen = sizes.join(totals(docs, sizes), "pattern", "left").select("pattern", "n", F.greatest("own", F.coalesce("seen", F.lit(0))).alias("seen"))
     total = edges.count()
-    edges = stash(join_hot(edges, stash(sizes, "sizes"), "pattern", "n", total), "edges")
+    edges = stash(join_hot(edges, stash(seen, "sizes"), "pattern", "n", total), "edges")
     score = edges.withColumn("score", F.col("known").cast("double"))
     for k in range(rounds):
-        rated = score.groupBy("pattern").agg((F.sum("score") / (F.first("n") + 0.5)).alias("rate"), F.first("n").alias("n"))
+        rated = score.groupBy("pattern").agg((F.sum(F.col("score") * F.col("places")) / (F.first("seen") + 0.5)).alias("rate"), F.first("n").alias("n"))
         good = stash(rated.where(F.col("rate") >= confidence), "good")
         if k == rounds - 1 or good.isEmpty():
             break
@@ -163,10 +224,10 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, base and spans (joined kind:start:end) for each row of ``df``."""
     docs = id_and_text(df, id_col=id_col, text_col=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, base string, places array<struct<pattern:long,instance:long,known:boolean,start:long,end:long>>"
+    ddl = f"doc_id {kind}, base string, places array<struct<pattern:string,instance:long,known:boolean,start:long,end:long>>"
     rows = stash(docs.mapInArrow(_scan, ddl).withColumn("uid", F.monotonically_increasing_id()), "scanned")
     places = rows.where(F.size("places") > 0).select("uid", F.explode("places").alias("p")).select("uid", "p.*")
-    good = good_patterns(places)
+    good = good_patterns(docs, places)
     at = places.where("not known").join(good.select("pattern"), "pattern").groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     out = rows.drop("places").join(at, "uid", "left")
     # Base spans are sorted already; the few rows with more are merged and sorted again by start, then kind.

@@ -45,6 +45,7 @@ RULES = (
     ("shouts", 0.15, 0.01, True),
     ("repeats", 0.2, 0.05, True),
     ("dup_lines", 0.3, 0.1, True),
+    ("stutter", 0.2, 0.03, True),
     ("top_word", 0.25, 0.15, True),
     ("distinct", 0.12, 0.3, False),
     ("letters", 0.6, 0.85, False),
@@ -87,7 +88,7 @@ def figures(text: bytes) -> tuple:
     stop = sum(int(counts[seen[w]]) for w in STOP_WORDS if w in seen)
     return (
         *base, symbols / n, (len(text) - len(text.translate(None, _UPPER))) / max(letters, 1), text.count(b"!!") / n, repeats / n, dup_lines / max(len(lines), 1),
-        counts.max() / n, len(seen) / n if n < 2_000 else None, letters / max(len(solid), 1), stop / n,
+        int((ids[1:] == ids[:-1]).sum()) / n, counts.max() / n, len(seen) / n if n < 2_000 else None, letters / max(len(solid), 1), stop / n,
     )
 
 

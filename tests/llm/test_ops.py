@@ -460,10 +460,22 @@ def test_pii(spark, docs, edge, which):
         assert [r[f"n_{k}"] for k in pii.KINDS[:4]] == [sum(x.startswith(k) for x in own) for k in pii.KINDS[:4]]
 
 
+def test_pii_patterns():
+    text = "Write to (mail: A1@b.c), or tel=+1 555 123 456 now"
+    at = text.index("A1@b.c")
+    assert pii.patterns(text, at, at + 6) == ["two to (mail:", "both (mail: or", "label (mail:"]
+    at = text.index("+1")
+    assert pii.patterns(text, at, at + 14) == ["two a0@b.c), or", "both or now", "label tel="]
+    known = {"=to": {"two to (mail:"}, "=or": {"both or now", "both or 000"}, "label": {"label tel="}}
+    assert pii.occurrences(text, known) == {"two to (mail:": 1, "both or 000": 1, "label tel=": 1}
+
+
 def test_pii_patterns_find_unseen_identifiers(spark):
     rows = [(i, f"Some words before. Contact mail: user{i}@mail.example.com is here.") for i in range(8)]
     rows += [(100, "Some other words. Contact mail: user77(at)mail-example is here."), (101, "A number 123456 in a text without any pattern.")]
+    rows += [(200 + i, f"It is of the user{i}@mail.example.com here; of the garden, of the house.") for i in range(8)] + [(300, "It is of the number 123456 now.")]
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[300] == ""  # what goes before ordinary words, too, is no pattern
     text = rows[8][1]
     at = text.index("user77")
     assert got[100] == f"context:{at}:{at + len('user77(at)mail-example')}" and got[101] == ""
