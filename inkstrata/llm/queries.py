@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import exact_dedup, language, mixing, ngram, packing, pii, quality, secrets, sharding, simhash
+from .common import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
