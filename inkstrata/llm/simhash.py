@@ -14,7 +14,7 @@ never looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -92,23 +92,35 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
-def near_groups(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of ``df``: doc_id, text_sha256, fp, component_id (the least doc_id that is reachable)."""
-    prints = stash(fingerprints(df, words, id_col, text_col), "simhash")
+def rooted(prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row a row of ``prints`` (doc_id, text_sha256, fp): also root and component_id. ``linked`` gives (u, v) from distinct fps."""
     distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct.select("fp"), radius))
+    roots = components(linked(distinct.select("fp")))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = stash(named, "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    per_fp = join_hot(named, ids, "root", "members", distinct.count()).select("fp", "n", "component_id")
+    per_fp = join_hot(named, ids, "root", "members", distinct.count()).select("fp", "n", "root", "component_id")
     out = join_hot(prints, stash(per_fp, "components"), "fp", "n", prints.count())
-    return out.select("doc_id", "text_sha256", "fp", "component_id")
+    return out.select("doc_id", "text_sha256", "fp", "root", "component_id")
+
+
+def _rooted(df: DataFrame, words: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    return rooted(stash(fingerprints(df, words, id_col, text_col), "simhash"), partial(links, radius=radius))
+
+
+def near_groups(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a row of ``df``: doc_id, text_sha256, fp, component_id (the least doc_id that is reachable)."""
+    return _rooted(df, words, radius, id_col, text_col).drop("root")
 
 
 def drop_near(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each component: that of the least doc_id, or of these the least SHA-256 of its text."""
-    found = near_groups(df, words, radius, id_col, text_col)
-    # The component's own row is the one with its id; only rows that share that id have to be told apart.
+    return drop_rooted(df, _rooted(df, words, radius, id_col, text_col), id_col, text_col)
+
+
+def drop_rooted(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with the row to keep of each component of ``found`` (as rooted gives it)."""
+    # The component's own row is one with its id; only rows that share that id have to be told apart.
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_sha256").alias("best"))
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(own.withColumnRenamed("component_id", "c"), F.col("doc_id").eqNullSafe(F.col("c")))
     kept = heads.select("doc_id", "text_sha256", (F.col("text_sha256") == F.col("best")).alias("kept"))
