@@ -5,8 +5,10 @@ before slot floor(k / w) and must be placed before slot ceil((k + 1) / w). Earli
 source) then fills one slot after the other; every deadline is met, so after any number of slots each source is less than one
 block away from its share.
 
-Weights are rounded to integers a of ``quanta``, so release times and deadlines repeat after ``quanta`` slots and the
-schedule of one period gives every block's slot in closed form: the driver handles one period, whatever the input's size.
+Weights are rounded to integers a of ``quanta``, so release times and deadlines repeat after ``quanta`` slots. Unless told, the
+quanta are the first of 10,000, 100,000, ... whose rounding moves no source by more than DRIFT blocks from its unrounded target
+until the mixture ends. The driver handles the slots of one period, or of the mixture if that is shorter: about one for each
+BLOCK_ROWS rows of the result. Workers join them, so no row carries a whole list.
 A source that ends before the others starts again (a further epoch), until the slowest source has been used up once: all
 rows are there at least once and the weights hold to the end.
 
@@ -18,7 +20,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from bisect import bisect_right
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,12 @@ from .sharding import ranked
 
 BLOCK_ROWS = 16
 QUANTA = 10_000
-#: A mixture has at most so many sources; the weights and one period are broadcast.
+#: Most blocks by which rounded weights may move a source from its target.
+DRIFT = 0.05
+#: A mixture has at most so many sources; their weights are broadcast.
 MOST_SOURCES = 5_000
+#: The driver schedules at most so many slots; weights that need more (a large source with next to no weight) are an error.
+MOST_SLOTS = 50_000_000
 SEED = 23
 #: Default weights: shares of rows to this power.
 TEMPERATURE = 0.9
@@ -45,18 +54,38 @@ def rounded(weights: dict[str, float], quanta: int) -> dict[str, int]:
     return out
 
 
-def period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period of sum(shares) slots, by earliest deadline first."""
+def length(shares: dict[str, int], blocks: dict[str, int]) -> int:
+    """Slots within which every source's blocks have been placed: the last deadline."""
     quanta = sum(shares.values())
-    release = sorted((k * quanta // a, s, k) for s, a in shares.items() for k in range(a))
-    out: dict[str, list[int]] = {s: [] for s in shares}
+    return max((-(-n * quanta // shares[s]) for s, n in blocks.items()), default=0)
+
+
+def fitting(weights: dict[str, float], blocks: dict[str, int]) -> dict[str, int]:
+    """Shares that stay within DRIFT blocks of the weights until every source's blocks have been placed."""
+    total, quanta = sum(weights.values()), max(QUANTA, 2 * len(weights))
+    while quanta <= 10**13:
+        shares = rounded(weights, quanta)
+        slots = length(shares, blocks)
+        if slots > MOST_SLOTS:
+            break
+        if max(abs(a / quanta - weights[s] / total) for s, a in shares.items()) * slots <= DRIFT:
+            return shares
+        quanta *= 10
+    raise ValueError(f"a mixture of these weights takes more than {MOST_SLOTS} slots")
+
+
+def period(shares: dict[str, int], most: int | None = None) -> dict[str, array]:
+    """Slots of each source's blocks in one period of sum(shares) slots (or its first ``most``), by earliest deadline first."""
+    quanta = sum(shares.values())
+    waiting = [(0, s, 0) for s in sorted(shares)]  # release of the source's next block
+    out: dict[str, array] = {s: array("q") for s in shares}
     ready: list[tuple] = []
-    at = 0
-    for slot in range(quanta):
-        while at < len(release) and release[at][0] <= slot:
-            _, s, k = release[at]
+    for slot in range(quanta if most is None else min(quanta, most)):
+        while waiting and waiting[0][0] <= slot:
+            _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * quanta // shares[s]), -shares[s], s))
-            at += 1
+            if k + 1 < shares[s]:
+                heapq.heappush(waiting, ((k + 1) * quanta // shares[s], s, k + 1))
         deadline, _, s = heapq.heappop(ready)
         if deadline <= slot:
             raise ArithmeticError("a deadline was missed")
@@ -65,7 +94,7 @@ def period(shares: dict[str, int]) -> dict[str, list[int]]:
 
 
 def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS,
-             quanta: int = QUANTA, seed: int = SEED, source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+             quanta: int | None = None, seed: int = SEED, source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, source, epoch, block, release, deadline, slot, position: one row for each place in the mixture."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
@@ -78,25 +107,33 @@ def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temp
     target = {name(s): w for s, w in weights.items() if name(s) in sizes} if weights else {s: (n / total) ** temperature for s, n in sizes.items()}
     if missing := sorted(set(sizes) - set(target)):
         raise ValueError(f"no weight for {missing[:5]}")
-    kind = "_stratum string, a long, slots array<long>, last long"
-    shares = rounded(target, max(quanta, 2 * len(target))) if target else {}
-    cycle, size = sum(shares.values()), lambda s: -(-sizes[s] // block_rows)
-    slots = period(shares) if shares else {}
+    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
+    shares = (rounded(target, max(quanta, 2 * len(target))) if quanta else fitting(target, blocks)) if target else {}
+    cycle, most = sum(shares.values()), length(shares, blocks)
+    slots = period(shares, most)
     at = lambda s, k: k // shares[s] * cycle + slots[s][k % shares[s]]
-    end = max((at(s, size(s) - 1) for s in sizes), default=-1)  # the last slot of the source that needs most
-    plan = spark.createDataFrame([(s, shares[s], slots[s], end) for s in shares], kind)
-    rank, block = F.col("_rank") + F.col("epoch") * F.col("_n"), F.col("block")
-    # Up to `last` a source has at most (last div cycle + 1) * a blocks, which bounds its epochs.
-    epochs = F.expr(f"((last div {max(cycle, 1)} + 1) * a * {block_rows}) div _n + 1")
+    end = max((at(s, blocks[s] - 1) for s in sizes), default=-1)  # the last slot of the source that needs most
+    # Blocks that a source has up to the end.
+    placed = {s: end // cycle * shares[s] + bisect_right(slots[s], end % cycle) for s in shares}
+    plan = spark.createDataFrame([(s, shares[s], placed[s], end) for s in shares], "_stratum string, a long, blocks long, last long")
+    one = "_stratum string, _turn long, _slot long"
+    table = pa.table({
+        "_stratum": pa.array([s for s in slots for _ in slots[s]], pa.string()), "_turn": pa.array([k for own in slots.values() for k in range(len(own))], pa.int64()),
+        "_slot": pa.array([x for own in slots.values() for x in own], pa.int64()),
+    })
+    turns = stash(spark.createDataFrame(table, one) if shares else spark.createDataFrame([], one), "slots")
+    rank = F.col("_rank") + F.col("epoch") * F.col("_n")
+    epochs = F.expr(f"(blocks * {block_rows} - 1) div _n")
     dealt = (
         in_source.join(F.broadcast(plan), "_stratum").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
-        .withColumn("block", F.floor(rank / block_rows)).withColumn("_within", rank % block_rows)
-        .withColumn("slot", F.expr(f"block div a * {cycle}") + F.expr("slots[int(block % a)]")).where("slot <= last")
+        .withColumn("block", F.floor(rank / block_rows)).withColumn("_within", rank % block_rows).where("block < blocks").withColumn("_turn", F.expr("block % a"))
+        .join(F.broadcast(turns) if table.num_rows <= BROADCAST_ROWS else turns, ["_stratum", "_turn"])
+        .withColumn("slot", F.expr(f"block div a * {cycle} + _slot")).where("slot <= last")
         .withColumn("release", F.expr(f"block * {cycle} div a")).withColumn("deadline", F.expr(f"((block + 1) * {cycle} + a - 1) div a"))
         .select("doc_id", "text_hash", "source", "epoch", "block", "release", "deadline", "slot", "_within")
     )
-    placed, _ = positions(dealt, ["slot", "_within"], "scheduled")
-    return placed.drop("_within").withColumnRenamed("_pos", "position")
+    found, _ = positions(dealt, ["slot", "_within"], "scheduled")
+    return found.drop("_within").withColumnRenamed("_pos", "position")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
