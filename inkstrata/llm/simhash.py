@@ -8,7 +8,7 @@ links are deduplicated. Chains of links are followed to whole components.
 
 Defined cases: null text is the empty text; texts without a word have fingerprint zero, which links like any other; texts
 with fewer words than a shingle have one shingle. Null doc_ids are passed over in the least id of a component, which is
-null only if all its ids are. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are
+null only if all its ids are; drop_near keeps a row of each component, also of those that share an id or have none. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are
 never looked at.
 """
 
@@ -120,10 +120,10 @@ def drop_near(df: DataFrame, words: int = SHINGLE, radius: int = RADIUS, id_col:
 
 def drop_rooted(df: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with the row to keep of each component of ``found`` (as rooted gives it)."""
-    # The component's own row is one with its id; only rows that share that id have to be told apart.
-    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("text_sha256").alias("best"))
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(own.withColumnRenamed("component_id", "c"), F.col("doc_id").eqNullSafe(F.col("c")))
-    kept = heads.select("doc_id", "text_sha256", (F.col("text_sha256") == F.col("best")).alias("kept"))
+    # A component's own row is one with its id (null if all are); only rows that share that id have to be told apart.
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("root", "doc_id", "text_sha256")
+    best = own.groupBy("root").agg(F.min("text_sha256").alias("best"))
+    kept = own.join(best, "root").select("doc_id", "text_sha256", (F.col("text_sha256") == F.col("best")).alias("kept"))
     rest = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_sha256", F.lit(False).alias("kept"))
     marked = stash(kept.unionByName(rest), "near")
     return keep_kept(df, marked, [F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)], ["doc_id", "text_sha256"])
