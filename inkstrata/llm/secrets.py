@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import zstandard
@@ -31,9 +32,14 @@ SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api_?key|access
 SENSITIVE_WORDS = ("passw", "passphrase", "secret", "token", "key", "credential", "bearer", "auth", "signature")
 REACH = 48
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+#: Without a digit, only runs of at least so many letters are candidates: words of any language but few are shorter, and are as novel as keys.
+LETTERS = re.compile(r"[A-Za-z]{32}")
 SURROUNDING = 1_024
 #: Marginal bytes a character from which a candidate counts as novel.
 NOVELTY = 0.75
+#: Candidates are measured in pieces of at most so many characters: zstandard stores shorter literals as they are, whatever their
+#: alphabet, and entropy-codes longer ones, so that long hexadecimal strings would seem less novel than short ones.
+PIECE = 48
 #: Identifiers and fragments that are no secrets.
 IDENTIFIERS = (
     "access_token refresh_token token_type token_expiry client_id client_secret api_key_name private_key_path public_key authorization authentication authenticate "
@@ -56,15 +62,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Marginal compressed bytes a character, against the identifiers and the surrounding code as the frame's history."""
-    primer = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + around.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """Marginal compressed bytes a character, against the identifiers, the surrounding code and the pieces before as the frame's history."""
+    n = len(candidate)
+    cuts = [k * n // -(-n // PIECE) for k in range(-(-n // PIECE) + 1)]
+    return sum(_marginal(candidate[a:b], around + candidate[max(0, a - SURROUNDING) : a]) for a, b in pairwise(cuts)) / n
+
+
+def _marginal(piece: str, before: str) -> int:
+    primer = zstandard.ZstdCompressionDict(IDENTIFIERS + b" " + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=primer, write_content_size=False, write_dict_id=False).compress(x))
-    data = candidate.encode()
-    return (size(data) - size(b"")) / len(data)
+    return size(piece.encode()) - size(b"")
 
 
 def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Strings with letters and digits soon after a sensitive word, outside the base spans."""
+    """Strings with letters, and digits or a long run of letters, soon after a sensitive word, outside the base spans."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return
@@ -75,7 +86,7 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
                 break
             done = m.end()
             s = m[0]
-            if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for _, a, b in taken):
+            if (any(c.isdigit() for c in s) or LETTERS.search(s)) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for _, a, b in taken):
                 yield m.start(), m.end()
 
 
