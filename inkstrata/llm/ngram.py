@@ -10,8 +10,8 @@ Storage: ``spark.checkpoint.dir``/lm-.../: for each vocabulary shard its hashes,
 and backoff weights; for each pair shard its keys and counts. Workers map these files; a store that isn't a file system is
 copied to the worker once. Files are replaced atomically, so a task that runs again does no harm.
 
-The model has order 2: its pairs alone are about half as many as the tokens here, and word triples would break the bound on
-disk (see the README).
+The model has order 2: its pairs alone are about half as many as the tokens here. Triples are estimated to take about as much
+disk again as the pairs (see the README); order 3 has been neither built nor measured.
 
 Defined cases: null text is one end token. Null doc_ids hash as the empty string (held out); repeated rows are rows like any
 other. Without training tokens every token has probability 1 / (V + 1) = 1. Other columns are never looked at. More than
