@@ -20,7 +20,11 @@ def session(name: str = "inkstrata", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode and the warehouse on a cluster."""
+    """The folder that the driver and all executors share.
+
+    ``spark.checkpoint.dir`` wins. Where it is unset, a local session takes a temporary folder (once a session)
+    and a cluster takes the warehouse, which it shares anyway.
+    """
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
         if spark.sparkContext.master.startswith("local["):
@@ -33,11 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Whatever is at ``path`` by now goes when the driver ends, in whichever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stash(df: DataFrame, tag: str = "stash") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Writes ``df`` as Parquet to the shared folder and reads it back: a lineage cut that outlives any executor.
+
+    The table is removed when the driver ends, as results may be computed from it until then.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
