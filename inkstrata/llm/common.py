@@ -1,18 +1,16 @@
-"""Helpers that the training-data operators share: the shared folder, intermediate tables, skew-safe joins, ranks."""
+"""Helpers that the training-data operators share: text slices, skew-safe joins, ranks."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
+
 #: Above this many rows of (long) keys nothing is broadcast; a shuffle join takes over.
 BROADCAST_ROWS = 500_000
 #: A key is hot if it holds at least 1/HOT_SHARE of all rows, so there are never more than HOT_SHARE hot keys.
@@ -21,47 +19,11 @@ HOT_SHARE = 1_000
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` wins. Where it is unset, a local session takes a temporary folder (once a session)
-    and a cluster takes the warehouse, which it shares anyway.
-    """
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if spark.sparkContext.master.startswith("local["):
-            folder = tempfile.mkdtemp(prefix="inkstrata-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            told = f"file://{folder}"
-        else:
-            told = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_inkstrata"
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, tag: str = "stash") -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: a lineage cut that outlives any executor."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def id_and_text(df: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the columns that an operator needs, so that others may have any name; null text counts as empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in more))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer input splits than cores (one small file, say) is dealt over all cores; larger ones are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each slice has at most ``limit`` bytes of text, or one row."""
     for batch in batches:

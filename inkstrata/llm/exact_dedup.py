@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, by_size, id_and_text, join_hot, slices, stash, utf8
+from ..session import stash
+from .common import BROADCAST_ROWS, by_size, id_and_text, join_hot, slices, utf8
 
 #: (prime, base) of the two polynomials: fixed values.
 FIELDS = ((2_147_483_647, 1_315_423_911), (2_147_483_629, 1_020_304_057))

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, positions, stash
+from ..session import stash
+from .common import BROADCAST_ROWS, positions
 from .sharding import ranked
 
 BLOCK_ROWS = 16

@@ -34,7 +34,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, new_path, slices, stash, utf8
+from ..session import new_path, stash
+from .common import id_and_text, slices, utf8
 
 FOLDS = 10
 #: Bytes of text for each shard; a shard is merged in one task's memory.

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, join_hot, slices, stash, utf8
+from ..session import stash
+from .common import id_and_text, join_hot, slices, utf8
 from .spans import Span, all_of, joined
 
 KINDS = ("email", "ip", "card", "phone", "context")

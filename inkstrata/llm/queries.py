@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import exact_dedup, language, mixing, ngram, packing, pii, quality, secrets, sharding, simhash
-from .common import spread
+from ..session import spread
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
