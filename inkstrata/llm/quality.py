@@ -6,7 +6,9 @@ a document stays if its posterior probability of being good is at least 0.5. A p
 what the driver sees is bounded whatever the input's size, and counts cover all documents.
 
 Defined cases: null text has no words and fails the base test, as all texts under 20 words do; null or repeated doc_ids
-are rows like any other; without documents that pass the base test the prior decides; other columns are never looked at.
+are rows like any other; without documents that pass the base test the prior decides; an empty table gives an empty result; other
+columns are never looked at. Very long texts are read whole, in time and memory in proportion to their length, and by the same rules:
+every figure is a share of the text, and that of different words is a mean over windows of SPAN words, so no rule knows a text's length.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import id_and_text, slices, utf8
 WINDOW = 8
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-#: Frequent function words of English, German, French and Spanish.
-STOP_WORDS = tuple(
+#: Words of each window over which different words are counted.
+SPAN = 200
+#: Frequent function words of English, German, French and Spanish. Words that several of them share count once.
+STOP_WORDS = frozenset(
     b"the of and to in that is was for on as with by at from this are be not "
     b"der die das und in den von zu mit im ist des auf eine dem nicht ein als auch es "
     b"le la les de des et en un une du que est pour dans par sur pas au avec qui "
@@ -38,6 +42,7 @@ _WHITE = bytes([9, 10, 11, 12, 13, 32])
 _TAILS = bytes(range(0x80, 0xC0))  # bytes of a character after its first
 _UPPER = bytes(range(65, 91))
 _NO_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
+_EDGE = b"\"'()[]{}<>,;:!?."  # what may stand around a word
 
 #: Rule: figure, bad at or beyond, good at or within, and whether large values are bad.
 RULES = (
@@ -48,7 +53,7 @@ RULES = (
     ("dup_lines", 0.3, 0.1, True),
     ("stutter", 0.2, 0.03, True),
     ("top_word", 0.25, 0.15, True),
-    ("distinct", 0.12, 0.3, False),
+    ("distinct", 0.15, 0.4, False),
     ("letters", 0.6, 0.85, False),
     ("stop_words", 0.005, 0.05, False),
 )
@@ -70,6 +75,13 @@ def repeated_words(ids: np.ndarray) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def distinct_share(ids: np.ndarray, span: int = SPAN) -> float:
+    """Different words of each window of ``span`` words (the last may be shorter), summed, over all words."""
+    n = len(ids)
+    keys = np.arange(n) // span * (int(ids.max(initial=0)) + 1) + ids
+    return len(np.unique(keys)) / n
+
+
 def figures(text: bytes) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the figures that RULES name, in their order."""
     words = text.split()
@@ -86,10 +98,10 @@ def figures(text: bytes) -> tuple:
         return *base, *[None] * len(RULES)
     counts = np.bincount(ids)
     letters = len(text.translate(None, _NO_LETTER))
-    stop = sum(int(counts[seen[w]]) for w in STOP_WORDS if w in seen)
+    stop = sum(int(counts[k]) for w, k in seen.items() if w.lower().strip(_EDGE) in STOP_WORDS)
     return (
         *base, symbols / n, (len(text) - len(text.translate(None, _UPPER))) / max(letters, 1), text.count(b"!!") / n, repeats / n, dup_lines / max(len(lines), 1),
-        int((ids[1:] == ids[:-1]).sum()) / n, counts.max() / n, len(seen) / n if n < 2_000 else None, letters / max(len(solid), 1), stop / n,
+        int((ids[1:] == ids[:-1]).sum()) / n, counts.max() / n, distinct_share(ids), letters / max(len(solid), 1), stop / n,
     )
 
 
