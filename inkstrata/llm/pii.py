@@ -3,20 +3,29 @@
 Base patterns find emails, IP addresses, card and phone numbers in every whole text; these are the seeds. The words around a
 seed induce lexical patterns (two words before; the word before and the word after; a label that ends in a colon or the like).
 Identifier-like words (with a digit or an @) in other places are instances of the patterns around them. Spark scores the
-graph of patterns and instances in rounds: a pattern is as good as the share of all its occurrences, before ordinary words, too,
-that are before known instances; an instance is as good as its good patterns. Words in a place that a pattern of high confidence
+graph of patterns and instances in rounds: a pattern is as good as the share of its occurrences that are before known instances
+(of which there must be SUPPORT different ones), where occurrences before ordinary words count in full against it and those before
+other identifier-like words by UNKNOWN; an instance becomes known if good patterns describe at
+least half of its places, and so supports further patterns in the next round. Words in a place that a pattern of high confidence
 describes are reported as ``context`` spans; base spans always stay.
 
+Patterns are numbers: hashes of their words (lower case, digits equal), so that all occurrences in a text are found in numpy. One scan
+counts those that a Bloom filter of the candidates lets through; a false one has no candidate to be joined to. The filter has 16
+bits a candidate up to MOST_BITS; beyond that more false ones are shuffled, with equal results.
+
 Defined cases: null text is the empty text; null or repeated doc_ids are rows like any other; without seeds there are no
-patterns and only base spans; an empty table gives an empty result; other columns are never looked at.
+patterns and only base spans; an empty table gives an empty result; other columns are never looked at. Very long texts are read
+whole: a text's words are found once, so time grows in proportion to it, also without any white space.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,10 +36,12 @@ from .common import id_and_text, join_hot, slices, utf8
 from .spans import Span, all_of, joined
 
 KINDS = ("email", "ip", "card", "phone", "context")
-#: A pattern needs so many different seeds, and this share of known instances; an instance this score.
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.8, 3
-#: Patterns that a scan for their occurrences takes at once.
-MOST_PATTERNS = 100_000
+#: A pattern needs so many different known instances, and this share of its occurrences; an instance this share of its places.
+SUPPORT, CONFIDENCE, DESCRIBED, ROUNDS = 3, 0.8, 0.5, 3
+#: How much an occurrence before an identifier-like word that isn't known counts against a pattern.
+UNKNOWN = 0.25
+#: Bits of the largest Bloom filter (16 MB).
+MOST_BITS = 1 << 27
 
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,12 +91,12 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def _mark(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\0".join(parts).encode(), 7) - (1 << 63)
-
-
-LABEL = re.compile(r"[^:=#]*[:=#]")
-NEXT_WORD = re.compile(r"\S*\s+(\S+)")
+TOKEN = re.compile(r"\S+")
+SEPARATOR = re.compile(r"[:=#]")
+EDGES = re.compile("[" + re.escape(EDGE) + "]*")
+#: The kinds of patterns; a pattern's last two bits say its kind.
+TWO, BOTH, LABEL = 0, 1, 2
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(words: str) -> str:
@@ -93,59 +104,120 @@ def plain(words: str) -> str:
     return DIGIT.sub("0", words.lower())
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span, from whole words before and after those that it touches."""
-    at = start
-    while at > 0 and not text[at - 1].isspace():
-        at -= 1
-    before = plain(text[max(0, at - 200) : at]).split()[-2:]
-    after = NEXT_WORD.match(text[end : end + 200])
-    out = []
-    if len(before) == 2:
-        out.append(" ".join(["two", *before]))
-    if before and after:
-        out.append(" ".join(["both", before[-1], plain(after[1])]))
-    label = LABEL.fullmatch(plain(text[at:start])) if at < start else LABEL.fullmatch(before[-1]) if before else None
-    if label:
-        out.append(f"label {label[0]}")
-    return out
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode(), 7)
+
+
+def _instance(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.lower().encode(), 8) - (1 << 63)
+
 
+def numbered(kind: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Patterns as signed numbers, from the hashes of their words."""
+    mixed = (first ^ (first >> np.uint64(29))) * _MIX + second
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+    return (((mixed ^ (mixed >> np.uint64(29))) & ~np.uint64(3)) | np.uint64(kind)).view(np.int64)
 
-def occurrences(text: str, known: dict[str, set[str]]) -> dict[str, int]:
-    """How often each known pattern occurs in a text, whatever word is in its place. known: patterns by their first word."""
-    words, found = plain(text).split(), {}
-    n = len(words)
 
-    def add(name: str, group: set[str]) -> None:
-        if name in group:
-            found[name] = found.get(name, 0) + 1
+class Words:
+    """The borders of a text's words, found once, and what is asked of a word, once for each."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in TOKEN.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+        self._known: dict[int, tuple[int, int, int, str]] = {}
+
+    def at(self, place: int) -> int:
+        """The number of the word at a place."""
+        return bisect_right(self.starts, place) - 1
+
+    def of(self, k: int) -> tuple[int, int, int, str]:
+        """A word's hash; where its first separator and where what may follow that ends (-1: no separator); its plain form up to the separator."""
+        if k not in self._known:
+            a, b = self.spans[k]
+            word, m = plain(self.text[a:b]), SEPARATOR.search(self.text, a, b)
+            name = word[: SEPARATOR.search(word).end()] if m else ""
+            self._known[k] = (_hash(word), m.end() if m else -1, m.end() + EDGES.match(self.text[m.end() : b]).end() if m else -1, name)
+        return self._known[k]
+
+
+def patterns(words: Words, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The lexical patterns around a span, from whole words before and after those that it touches: (kind, hash, hash)."""
+    first, last = words.at(start), words.at(end - 1)
+    out = []
+    if first >= 2:
+        out.append((TWO, words.of(first - 2)[0], words.of(first - 1)[0]))
+    if first >= 1 and last + 1 < len(words.spans):
+        out.append((BOTH, words.of(first - 1)[0], words.of(last + 1)[0]))
+    # A label ends right before the span: in its own word, or else as the whole word before.
+    if start > words.starts[first]:
+        _, after, free, label = words.of(first)
+        if after <= start <= free:
+            out.append((LABEL, _hash(label), 0))
+    elif first >= 1 and words.of(first - 1)[1] == words.spans[first - 1][1]:
+        out.append((LABEL, _hash(words.of(first - 1)[3]), 0))
+    return out
+
 
-    labels = known.get("label", set())
-    for i, w in enumerate(words):
-        if (group := known.get("=" + w)) is not None:
-            if i + 1 < n:
-                add(f"two {w} {words[i + 1]}", group)
-            if i + 2 < n:
-                add(f"both {w} {words[i + 2]}", group)
-        if labels and (m := LABEL.match(w)):
-            add(f"label {m[0]}", labels)
-    return found
+def occurrences(texts: list[str]) -> np.ndarray:
+    """All patterns of the texts, whatever word is in their place, one for each occurrence."""
+    seen: dict[str, int] = {}
+    forms: dict[str, int] = {}
+    hashes: list[int] = []
+    labels: list[int] = []
+    parts, ends = [], []
+    for text in texts:
+        ids = []
+        for w in text.split():
+            k = seen.get(w)
+            if k is None:
+                form = plain(w)
+                k = forms.get(form)
+                if k is None:
+                    k = forms[form] = len(hashes)
+                    hashes.append(_hash(form))
+                    m = SEPARATOR.search(form)
+                    labels.append(_hash(form[: m.end()]) if m else 0)
+                seen[w] = k
+            ids.append(k)
+        parts.append(np.array(ids, np.int64))
+        ends.append(len(ids))
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    text_of = np.repeat(np.arange(len(ends)), ends)
+    table, label = np.array(hashes, np.uint64), np.array(labels, np.uint64)
+    own = table[ids] if len(ids) else np.zeros(0, np.uint64)
+    inside = lambda k: text_of[k:] == text_of[: max(0, len(ids) - k)]
+    two = numbered(TWO, own[:-1], own[1:])[inside(1)] if len(ids) > 1 else np.zeros(0, np.int64)
+    both = numbered(BOTH, own[:-2], own[2:])[inside(2)] if len(ids) > 2 else np.zeros(0, np.int64)
+    told = label[ids] if len(ids) else label
+    told = told[told > 0]
+    return np.concatenate([two, both, numbered(LABEL, told, np.zeros(len(told), np.uint64))])
+
+
+def _is_identifier(s: str) -> bool:
+    return len(s) >= 4 and ("@" in s or len(DIGIT.findall(s)) >= 2)
 
 
 def instances(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
-    """Identifier-like words outside the base spans: at least 4 characters, with an @ or two digits."""
+    """Identifier-like words outside the base spans: at least 4 characters, with an @ or two digits; of a word with a label, what follows it."""
     if "@" not in text and not DIGIT.search(text):
         return
     busy = sorted((a, b) for _, a, b in taken)
     k = 0
     for m in WORD.finditer(text):
         word = m[0]
-        if len(word) < 4 or ("@" not in word and len(DIGIT.findall(word)) < 2):
+        if not _is_identifier(word):
             continue
-        core = word.strip(EDGE)
+        label = SEPARATOR.search(word)
+        rest = word[label.end() :].strip(EDGE) if label else ""
+        if _is_identifier(rest):
+            core, from_ = rest, label.end()
+        else:
+            core, from_ = word.strip(EDGE), 0
         if len(core) < 4:
             continue
-        start = m.start() + len(word) - len(word.lstrip(EDGE))
+        start = m.start() + from_ + EDGES.match(word, from_).end() - from_
         end = start + len(core)
         while k < len(busy) and busy[k][1] <= start:
             k += 1
@@ -155,7 +227,7 @@ def instances(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Base figures of each text, and its places: (pattern, instance, known, start, end)."""
-    place = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.int64()), ("known", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())]))
+    place = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("known", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())]))
     for b in slices(batches):
         spans, places = [], []
         for raw in utf8(b):
@@ -163,73 +235,117 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             spans.append(joined(base, KINDS))
             seen = [(True, s, e) for _, s, e in base] + [(False, s, e) for s, e in instances(text, base)]
-            places.append([
-                {"pattern": p, "instance": _mark("i", text[s:e].lower()), "known": known, "start": s, "end": e} for known, s, e in seen for p in patterns(text, s, e)
-            ])
+            around = [(known, s, e, p) for words in [Words(text) if seen else None] for known, s, e in seen for p in patterns(words, s, e)]
+            names = numbered_each([p for *_, p in around])
+            places.append([{"pattern": n, "instance": _instance(text[s:e]), "known": known, "start": s, "end": e} for n, (known, s, e, _) in zip(names, around, strict=True)])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(spans, pa.string()), pa.array(places, place)], names=["doc_id", "base", "places"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], known: dict[str, set[str]]) -> Iterator[pa.RecordBatch]:
-    """Occurrences in each batch, summed."""
-    for b in slices(batches):
-        total: dict[str, int] = {}
-        for raw in utf8(b):
-            for name, n in occurrences(raw.decode(), known).items():
-                total[name] = total.get(name, 0) + n
-        yield pa.RecordBatch.from_pydict({"pattern": pa.array(list(total), pa.string()), "seen": pa.array(list(total.values()), pa.int64())})
+def numbered_each(found: list[tuple[int, int, int]]) -> list[int]:
+    return [int(numbered(kind, np.array([a], np.uint64), np.array([b], np.uint64))[0]) for kind, a, b in found]
 
 
-def totals(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(pattern, seen): occurrences of patterns in all texts. Patterns go to the tasks in blocks of bounded size, a scan each."""
-    out, block = docs.sparkSession.createDataFrame([], "pattern string, seen long"), []
+def _bits(patterns: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of each pattern in a filter of so many bits (a power of two)."""
+    own = patterns.view(np.uint64)
+    return [((own >> np.uint64(shift)) & np.uint64(bits - 1)).astype(np.int64) for shift in (2, 31)]
+
+
+def _filter(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The set bits of each batch's patterns, in blocks of 4 KB."""
+    for b in batches:
+        places = np.unique(np.concatenate(_bits(b.column("pattern").to_numpy(zero_copy_only=False), bits)))
+        blocks, first = np.unique(places >> 15, return_index=True)
+        out = []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(places)], strict=True):
+            own = np.zeros(1 << 15, np.uint8)
+            own[places[lo:hi] & 32767] = 1
+            out.append(np.packbits(own).tobytes())
+        yield pa.RecordBatch.from_pydict({"part": pa.array(blocks, pa.int64()), "set": pa.array(out, pa.binary())})
+
+
+def _united(key: tuple, table: pa.Table) -> pa.Table:
+    whole = np.zeros(4096, np.uint8)
+    for x in table.column("set").to_pylist():
+        whole |= np.frombuffer(x, np.uint8)
+    return pa.table({"part": [key[0].as_py()], "set": [whole.tobytes()]})
 
-    def scan() -> DataFrame:
-        known: dict[str, set[str]] = {}
-        for name in block:
-            kind, first, *_ = name.split(" ")
-            known.setdefault("label" if kind == "label" else "=" + first, set()).add(name)
-        return stash(docs.select("text").mapInArrow(partial(_count, known=known), "pattern string, seen long").groupBy("pattern").agg(F.sum("seen").alias("seen")), "seen")
 
-    for r in names.select("pattern").toLocalIterator():
-        block.append(r["pattern"])
-        if len(block) == MOST_PATTERNS:
-            out, block = out.unionByName(scan()), []
-    return out.unionByName(scan()) if block else out
+def bloom(names: DataFrame) -> np.ndarray:
+    """The candidates' filter, unpacked to a byte a bit in each task; 16 MB packed at most, however many there are."""
+    bits = 1 << 15
+    while bits < min(16 * names.count(), MOST_BITS):
+        bits *= 2
+    rows = names.select("pattern").mapInArrow(partial(_filter, bits=bits), "part long, set binary").groupBy("part").applyInArrow(_united, "part long, set binary").collect()
+    whole = np.zeros((bits >> 15, 4096), np.uint8)
+    for r in rows:
+        whole[r["part"]] = np.frombuffer(r["set"], np.uint8)
+    return whole.reshape(-1)
+
+
+def _count(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Occurrences of what the filter lets through, summed for each batch."""
+    bits = 8 * len(known)
+    for b in slices(batches):
+        names = occurrences([raw.decode() for raw in utf8(b)])
+        for at in (0, 1):
+            place = _bits(names, bits)[at]
+            names = names[(known[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+        names, counts = np.unique(names, return_counts=True)
+        yield pa.RecordBatch.from_pydict({"pattern": pa.array(names, pa.int64()), "seen": pa.array(counts, pa.int64())})
+
+
+def totals(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(pattern, seen): occurrences in all texts, of ``names`` and of a few others; one scan."""
+    return docs.select("text").mapInArrow(partial(_count, known=bloom(names)), "pattern long, seen long").groupBy("pattern").agg(F.sum("seen").alias("seen"))
 
 
 def good_patterns(docs: DataFrame, places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern) of high confidence, from places (pattern, instance, known) of docs (text).
+    """(pattern, own) of high confidence and their own places, from places (pattern, instance, known) of docs (text).
 
     Edges are counted, whatever the number of places. Every round is one aggregate over patterns, one join of the good
-    ones back to their edges and one aggregate over instances; nothing but candidate patterns, in blocks, comes to the driver.
+    ones back to their edges and one aggregate over instances.
     """
     edges = stash(places.groupBy("pattern", "instance").agg(F.max("known").alias("known"), F.count("*").alias("places")), "edges")
-    # Only patterns with enough seeds can ever be good enough, so the others' edges aren't carried along.
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("places").alias("own"), F.count_if("known").alias("seeds")).where(f"seeds >= {support}")
+    # Only patterns with enough different instances can ever be good, so the others' edges aren't carried along but for their places.
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("places").alias("own")).where(f"n >= {support}")
     sizes = stash(sizes, "sizes")
-    seen = sizes.join(totals(docs, sizes), "pattern", "left").select("pattern", "n", F.greatest("own", F.coalesce("seen", F.lit(0))).alias("seen"))
-    total = edges.count()
-    edges = stash(join_hot(edges, stash(seen, "sizes"), "pattern", "n", total), "edges")
-    score = edges.withColumn("score", F.col("known").cast("double"))
+    seen = sizes.join(totals(docs, sizes), "pattern", "left").select("pattern", "n", "own", F.greatest("own", F.coalesce("seen", F.lit(0))).alias("seen"))
+    seen, total = stash(seen, "seen"), edges.count()
+    # An instance's places by kind: each place has a pattern of each kind at most.
+    kinds = (TWO, BOTH, LABEL)
+    of = F.col("pattern").bitwiseAND(F.lit(3))
+    by_kind = [F.sum(F.when(of == k, F.col("places")).otherwise(0)).alias(f"all{k}") for k in kinds]
+    all_places = stash(edges.where("not known").groupBy("instance").agg(F.count("*").alias("m"), *by_kind), "instances")
+    edges = stash(join_hot(edges, seen.select("pattern", "n", "own", "seen"), "pattern", "n", total), "edges")
+    found = None
     for k in range(rounds):
-        rated = score.groupBy("pattern").agg((F.sum(F.col("score") * F.col("places")) / (F.first("seen") + 0.5)).alias("rate"), F.first("n").alias("n"))
-        good = stash(rated.where(F.col("rate") >= confidence), "good")
+        scored = edges if found is None else edges.join(found, "instance", "left").withColumn("known", F.col("known") | F.coalesce("told", F.lit(False)))
+        rated = scored.groupBy("pattern").agg(
+            F.sum(F.when(F.col("known"), F.col("places")).otherwise(0)).alias("hits"), F.count_if("known").alias("known"), *[F.first(c).alias(c) for c in ("n", "own", "seen")])
+        against = F.col("seen") - F.col("own") + (F.col("own") - F.col("hits")) * UNKNOWN
+        good = stash(rated.where((F.col("hits") >= confidence * (F.col("hits") + against + 0.5)) & (F.col("known") >= support)).select("pattern", "n", "own"), "good")
         if k == rounds - 1 or good.isEmpty():
             break
-        found = join_hot(edges.drop("n"), good, "pattern", "n", total).groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.lit(1.0001) - F.least("rate", F.lit(1.0)))))).alias("own"))
-        score = edges.join(found, "instance", "left").withColumn("score", F.when(F.col("known"), 1.0).otherwise(F.coalesce("own", F.lit(0.0)))).drop("own")
-    return good.select("pattern", "n")
+        reached = join_hot(edges.where("not known").select("pattern", "instance", "places"), good.select("pattern", "n"), "pattern", "n", total)
+        reached = reached.groupBy("instance").agg(*[F.sum(F.when(of == i, F.col("places")).otherwise(0)).alias(f"good{i}") for i in kinds])
+        told = reached.join(all_places, "instance").where(F.greatest(*[F.coalesce(F.try_divide(f"good{i}", f"all{i}"), F.lit(0.0)) for i in kinds]) >= DESCRIBED)
+        new = stash(told.select("instance", F.lit(True).alias("told")), "told")
+        if new.isEmpty() or (found is not None and new.count() == found.count()):
+            break
+        found = new
+    return good.select("pattern", "own")
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base and spans (joined kind:start:end) for each row of ``df``."""
     docs = id_and_text(df, id_col=id_col, text_col=text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ddl = f"doc_id {kind}, base string, places array<struct<pattern:string,instance:long,known:boolean,start:long,end:long>>"
+    ddl = f"doc_id {kind}, base string, places array<struct<pattern:long,instance:long,known:boolean,start:long,end:long>>"
     rows = stash(docs.mapInArrow(_scan, ddl).withColumn("uid", F.monotonically_increasing_id()), "scanned")
     places = rows.where(F.size("places") > 0).select("uid", F.explode("places").alias("p")).select("uid", "p.*")
     good = good_patterns(docs, places)
-    at = places.where("not known").join(good.select("pattern"), "pattern").groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("more"))
+    at = join_hot(places.where("not known"), good, "pattern", "own", places.count()).groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     out = rows.drop("places").join(at, "uid", "left")
     # Base spans are sorted already; the few rows with more are merged and sorted again by start, then kind.
     one = F.filter(F.split(F.col("base"), ","), lambda x: x != "")

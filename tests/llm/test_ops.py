@@ -462,12 +462,16 @@ def test_pii(spark, docs, edge, which):
 
 def test_pii_patterns():
     text = "Write to (mail: A1@b.c), or tel=+1 555 123 456 now"
+    words = pii.Words(text)
+    two, both = (lambda a, b, k=k: (k, pii._hash(a), pii._hash(b)) for k in (pii.TWO, pii.BOTH))
+    label = lambda a: (pii.LABEL, pii._hash(a), 0)
     at = text.index("A1@b.c")
-    assert pii.patterns(text, at, at + 6) == ["two to (mail:", "both (mail: or", "label (mail:"]
+    assert pii.patterns(words, at, at + 6) == [two("to", "(mail:"), both("(mail:", "or"), label("(mail:")]
     at = text.index("+1")
-    assert pii.patterns(text, at, at + 14) == ["two a0@b.c), or", "both or now", "label tel="]
-    known = {"=to": {"two to (mail:"}, "=or": {"both or now", "both or 000"}, "label": {"label tel="}}
-    assert pii.occurrences(text, known) == {"two to (mail:": 1, "both or 000": 1, "label tel=": 1}
+    assert pii.patterns(words, at, at + 14) == [two("a0@b.c),", "or"), both("or", "now"), label("tel=")]
+    seen = Counter(pii.occurrences([text]).tolist())
+    known = pii.numbered_each([two("to", "(mail:"), both("or", "now"), both("or", "000"), label("tel=")])
+    assert [seen[k] for k in known] == [1, 0, 1, 1]
 
 
 def test_pii_patterns_find_unseen_identifiers(spark):
