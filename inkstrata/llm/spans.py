@@ -14,9 +14,14 @@ def all_of(kind: str, pattern: re.Pattern, text: str, good: Callable[[re.Match],
     return ((kind, m.start(), m.end()) for m in pattern.finditer(text) if good(m))
 
 
+def ordered(spans: Iterable[Span], kinds: tuple[str, ...]) -> list[Span]:
+    """By start, then kind in the order of ``kinds``."""
+    return sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2]))
+
+
 def joined(spans: Iterable[Span], kinds: tuple[str, ...]) -> str:
-    """kind:start:end by start, then kind in the order of ``kinds``, comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2])))
+    """kind:start:end in that order, comma-joined."""
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in ordered(spans, kinds))
 
 
 def digest(line: str) -> str:
