@@ -1,14 +1,18 @@
 """An interpolated modified Kneser-Ney bigram model, counted by Spark, kept as sorted arrays and memory-mapped by workers.
 
-Counting: tasks count the words (then the word pairs) of their texts in numpy and send one compressed, sorted block of keys
-and counts for each shard; the tasks that get a shard merge its blocks. Vocabulary shards are ranges of 64-bit word hashes,
+Counting: tasks count the words (then the word pairs) of their texts in numpy and send compressed, sorted blocks of keys
+and counts, one for each range of shards; blocks are merged in levels. On each level a task merges the blocks of one range that at most
+FAN senders made, and sends on one block for each of at most 2 ** SPLIT narrower ranges, until the ranges are single shards and one sender
+is left. So neither the number of blocks nor the size of a merge grows with the input, and the followers of a frequent context come
+together in a tree. Vocabulary shards are ranges of 64-bit word hashes,
 so a word's id is its place in the sorted hash arrays. Pairs are keys of two ids; a pair's shard depends on its context and on
 the block of a million ids that its word falls into, so a frequent context is spread over many shards. What the driver sees is
 a row of totals for each shard.
 
 Storage: ``spark.checkpoint.dir``/lm-.../: for each vocabulary shard its hashes, counts, continuation counts, context totals
-and backoff weights; for each pair shard its keys and counts. Workers map these files; a store that isn't a file system is
-copied to the worker once. Files are replaced atomically, so a task that runs again does no harm.
+and backoff weights; for each pair shard its keys and counts (as narrow as its largest count allows, up to 64 bits). Workers map these
+files; of a store that isn't a mounted file system they hold the arrays in use in memory, HELD_BYTES at most. Files are replaced
+atomically, so a task that runs again does no harm; they are removed when the driver ends.
 
 The model has order 2: its pairs alone are about half as many as the tokens here. Triples are estimated to take about as much
 disk again as the pairs (see the README); order 3 has been neither built nor measured.
@@ -21,8 +25,8 @@ other. Without training tokens every token has probability 1 / (V + 1) = 1. Othe
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import partial
@@ -31,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import new_path, stash
+from ..session import new_path, remove_at_end, stash
 from .common import id_and_text, slices, utf8
 
 FOLDS = 10
@@ -42,6 +47,10 @@ FOLDS = 10
 SHARD_BYTES = 32 << 20
 #: A task sends its counts when it holds so many keys.
 MOST_KEYS = 1_500_000
+#: Senders whose blocks are merged at once, and bits by which ranges get narrower, on each level.
+FAN, SPLIT = 64, 8
+#: Bytes of arrays that a worker holds of a model on a store that isn't mounted.
+HELD_BYTES = 256 << 20
 END, BEGIN = b"\n", b" "  # neither can be a word
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,29 +80,44 @@ def save(root: str, name: str, data: np.ndarray) -> None:
             f.write(data.tobytes())
 
 
-_OPEN: dict[tuple[str, str], np.ndarray] = {}
-_COPIES: dict[str, str] = {}
+_OPEN: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
 
 
 def load(root: str, name: str, kind: type) -> np.ndarray:
-    """A mapped array; one mapping a worker process."""
-    if (root, name) not in _OPEN:
-        folder = _local(root)
-        if folder is None:
-            from pyarrow import fs
-
-            folder = _COPIES.setdefault(root, tempfile.mkdtemp(prefix="lm-"))
-            if not os.path.exists(f"{folder}/{name}"):
-                store, path = fs.FileSystem.from_uri(root)
-                with store.open_input_stream(f"{path}/{name}") as src, open(f"{folder}/.{name}", "wb") as dst:
-                    while block := src.read(8 << 20):
-                        dst.write(block)
-                os.replace(f"{folder}/.{name}", f"{folder}/{name}")
+    """A mapped array, one mapping a worker process; or, of a store that isn't mounted, one of the arrays held last."""
+    if (root, name) in _OPEN:
+        _OPEN.move_to_end((root, name))
+        return _OPEN[root, name]
+    folder = _local(root)
+    if folder is None:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(root)
+        with store.open_input_stream(f"{path}/{name}") as src:
+            _OPEN[root, name] = np.frombuffer(src.read(), kind)
+        held = sum(x.nbytes for (r, _), x in _OPEN.items() if _local(r) is None)
+        for key in [k for k in _OPEN if _local(k[0]) is None][:-1]:
+            if held <= HELD_BYTES:
+                break
+            held -= _OPEN.pop(key).nbytes
+    else:
         empty = os.path.getsize(f"{folder}/{name}") == 0
         _OPEN[root, name] = np.zeros(0, kind) if empty else np.asarray(np.memmap(f"{folder}/{name}", kind, "r"))
     return _OPEN[root, name]
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type that holds them all."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max))
+
+
+def load_counts(root: str, name: str, n: int) -> np.ndarray:
+    """``n`` counts, whose width follows from the file's size."""
+    raw = load(root, name, np.uint8)
+    return raw.view({1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(raw) // n]) if n else np.zeros(0, np.uint8)
+
+
 # Blocks of keys and counts.
 
 
@@ -154,6 +178,9 @@ class Model:
     word_backoff: float = 0.0
     offsets: np.ndarray = field(default=None)
 
+    def shards(self, keys: np.ndarray, pairs: bool) -> np.ndarray:
+        return self.pair_shard(keys) if pairs else self.vocabulary_shard(keys)
+
     def vocabulary_shard(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -209,31 +236,35 @@ def pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
     out = np.zeros(len(keys), np.int64)
     own, shards = keys[order], shards[order]
     for s, lo, hi in _runs(shards):
-        at = _place(load(model.root, f"pair-{s}.key", np.uint64), own[lo:hi])
-        counts = load(model.root, f"pair-{s}.count", np.uint32)
-        out[order[lo:hi]] = np.where(at >= 0, counts[at], 0) if len(counts) else 0
+        keys = load(model.root, f"pair-{s}.key", np.uint64)
+        at = _place(keys, own[lo:hi])
+        counts = load_counts(model.root, f"pair-{s}.count", len(keys))
+        out[order[lo:hi]] = np.where(at >= 0, counts[at].astype(np.int64), 0) if len(counts) else 0
     return out
 
 
 # Counting.
 
 
-def _blocks(shards: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def _blocks(shards: np.ndarray, sender: int, keys: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, sender, block): the keys and values of each range of shards."""
     order = np.argsort(shards, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.uint32)
+    keys, values = keys[order], [v[order] for v in values]
     runs = list(_runs(shards[order]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([s for s, _, _ in runs], pa.int64()), pa.array([pack(keys[a:b], counts[a:b]) for _, a, b in runs], pa.binary())], names=["shard", "block"]
-    )
+    packed = [pack(keys[a:b], *[v[a:b] for v in values]) for _, a, b in runs]
+    return pa.RecordBatch.from_pydict({"part": pa.array([s for s, _, _ in runs], pa.int64()), "sender": pa.array([sender] * len(runs), pa.int64()), "block": pa.array(packed, pa.binary())})
+
+
+_BLOCK = "part long, sender long, block binary"
 
 
-def _count(batches: Iterator[pa.RecordBatch], model: Model, pairs: bool) -> Iterator[pa.RecordBatch]:
-    """Blocks of the counts of words, or of pairs, that this task has seen."""
+def _count(batches: Iterator[pa.RecordBatch], model: Model, pairs: bool, bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the counts of words, or of pairs, that this task has seen, for 2 ** bits ranges of shards."""
     held, n = [], 0
 
     def blocks() -> pa.RecordBatch:
         keys, counts = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        return _blocks((model.pair_shard if pairs else model.vocabulary_shard)(keys), keys, counts)
+        return _blocks(model.shards(keys, pairs) >> (model.bits - bits), TaskContext.get().partitionId(), keys, counts.astype(np.uint64))
 
     for b in slices(batches):
         hashes, words, lens = tokens(utf8(b))
@@ -251,6 +282,23 @@ def _count(batches: Iterator[pa.RecordBatch], model: Model, pairs: bool) -> Iter
         yield blocks()
 
 
+def _merge_some(key: tuple, table: pa.Table, model: Model, pairs: bool, bits: int) -> pa.Table:
+    """One block for each of the 2 ** bits narrower ranges, of the blocks of some senders."""
+    keys, counts = _merged(table, 1)
+    return pa.Table.from_batches([_blocks(model.shards(keys, pairs) >> (model.bits - bits), key[1].as_py(), keys, counts)])
+
+
+def merged_blocks(docs: DataFrame, model: Model, pairs: bool):
+    """All counts as rows (part, sender, block) grouped by part, which are shards, with at most FAN senders a part."""
+    senders = max(1, docs.rdd.getNumPartitions())
+    bits = min(model.bits, SPLIT)
+    rows = docs.mapInArrow(partial(_count, model=model, pairs=pairs, bits=bits), _BLOCK)
+    while bits < model.bits or senders > FAN:
+        bits, senders = min(model.bits, bits + SPLIT), -(-senders // FAN)
+        rows = rows.groupBy("part", F.expr(f"sender div {FAN}").alias("senders")).applyInArrow(_by_key(_merge_some, model=model, pairs=pairs, bits=bits), _BLOCK)
+    return rows.groupBy("part")
+
+
 def pair_keys(ids: np.ndarray, begin: np.uint64, lens: np.ndarray) -> np.ndarray:
     """(context, word) of every token as one number."""
     before = np.empty_like(ids)
@@ -259,14 +307,16 @@ def pair_keys(ids: np.ndarray, begin: np.uint64, lens: np.ndarray) -> np.ndarray
     return before << np.uint64(32) | ids
 
 
-def _merged(table: pa.Table, *kinds: type) -> list[np.ndarray]:
-    found = [unpack(x, *kinds) for x in table.column("block").to_pylist()]
-    return summed(*[np.concatenate(x).astype(np.uint64 if k == 0 else np.int64) for k, x in enumerate(zip(*found, strict=True))])
+def _merged(table: pa.Table, values: int) -> list[np.ndarray]:
+    """The sums of a group's blocks of keys and so many values."""
+    found = [unpack(x, *[np.uint64] * (values + 1)) for x in table.column("block").to_pylist()]
+    return summed(*[np.concatenate(x) for x in zip(*found, strict=True)])
 
 
 def _merge_words(key: tuple, table: pa.Table, root: str) -> pa.Table:
     shard = key[0].as_py()
-    hashes, counts = _merged(table, np.uint64, np.uint32)
+    hashes, counts = _merged(table, 1)
+    counts = counts.astype(np.int64)
     save(root, f"word-{shard}.hash", hashes)
     save(root, f"word-{shard}.count", counts)
     return pa.table({"shard": [shard], "n": [len(hashes)], "words": [int((counts > 0).sum())], "tokens": [int(counts.sum())]})
@@ -275,30 +325,30 @@ def _merge_words(key: tuple, table: pa.Table, root: str) -> pa.Table:
 def _merge_pairs(key: tuple, table: pa.Table, model: Model) -> pa.Table:
     """Writes a shard's pairs; gives the contexts' and words' figures for the vocabulary's shards, and counts of counts."""
     shard = key[0].as_py()
-    keys, counts = _merged(table, np.uint64, np.uint32)
+    keys, counts = _merged(table, 1)
     save(model.root, f"pair-{shard}.key", keys)
-    save(model.root, f"pair-{shard}.count", counts.astype(np.uint32))
+    save(model.root, f"pair-{shard}.count", narrow(counts))
     context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    figures = summed(context, counts, counts == 1, counts == 2, counts >= 3)
-    figures = [figures[0], figures[1], *[f.astype(np.int64) for f in figures[2:]]]
+    figures = [x.astype(np.uint64) for x in summed(context, counts, *[x.astype(np.uint64) for x in (counts == 1, counts == 2, counts >= 3)])]
     after, kinds = np.unique(word, return_counts=True)
-    zero = lambda n: np.zeros(n, np.int64)
+    zero = lambda n: np.zeros(n, np.uint64)
     ids, *values = summed(
-        np.concatenate([figures[0], after]), *[np.concatenate([f, zero(len(after))]) for f in figures[1:]], np.concatenate([zero(len(figures[0])), kinds])
+        np.concatenate([figures[0], after]), *[np.concatenate([f, zero(len(after))]) for f in figures[1:]], np.concatenate([zero(len(figures[0])), kinds.astype(np.uint64)])
     )
-    rows = list(_runs(np.searchsorted(model.offsets, ids.astype(np.int64), side="right") - 1))
+    blocks = _blocks(np.searchsorted(model.offsets, ids.astype(np.int64), side="right") - 1, shard, ids, *values)
     of = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-    return pa.table({
-        "shard": pa.array([s for s, _, _ in rows], pa.int64()),
-        "block": pa.array([pack(ids[a:b], *[v[a:b].astype(np.uint32 if k else np.int64) for k, v in enumerate(values)]) for _, a, b in rows], pa.binary()),
-        **{f"n{k + 1}": pa.array([of[k] if r == 0 else 0 for r in range(len(rows))], pa.int64()) for k in range(4)},
-    })
+    return pa.table({**{c: blocks.column(c) for c in blocks.schema.names}, **{f"n{k + 1}": pa.array([of[k] if r == 0 else 0 for r in range(blocks.num_rows)], pa.int64()) for k in range(4)}})
+
+
+def _merge_partials(key: tuple, table: pa.Table) -> pa.Table:
+    """One block of the figures of a vocabulary shard, of those of some pair shards."""
+    return pa.table({"part": [key[0].as_py()], "sender": [key[1].as_py()], "block": pa.array([pack(*_merged(table, 5))], pa.binary())})
 
 
 def _merge_figures(key: tuple, table: pa.Table, model: Model) -> pa.Table:
     """Writes context totals, backoff weights and continuation counts of a vocabulary shard."""
     shard = key[0].as_py()
-    ids, total, one, two, more, kinds = _merged(table, np.uint64, np.int64, np.uint32, np.uint32, np.uint32, np.uint32)
+    ids, total, one, two, more, kinds = _merged(table, 5)
     at, n = ids.astype(np.int64) - model.offsets[shard], int(model.sizes[shard])
     whole = lambda v, kind: np.bincount(at, weights=v, minlength=n).astype(kind)
     totals, follows = whole(total, np.float64), whole(kinds, np.int64)
@@ -327,8 +377,7 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(3, (max(1, size // shard_bytes)).bit_length())
     model = Model(new_path(spark, "lm"), bits, np.zeros(1 << bits, np.int64))
-    blocks = lambda pairs, m: docs.mapInArrow(partial(_count, model=m, pairs=pairs), "shard long, block binary").groupBy("shard")
-    words = blocks(False, model).applyInArrow(_by_key(_merge_words, root=model.root), "shard long, n long, words long, tokens long").collect()
+    words = merged_blocks(docs, model, False).applyInArrow(_by_key(_merge_words, root=model.root), "shard long, n long, words long, tokens long").collect()
     sizes = np.zeros(1 << bits, np.int64)
     for r in words:
         sizes[r["shard"]] = r["n"]
@@ -337,13 +386,18 @@ def fit(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
     model = replace(model, sizes=sizes, offsets=np.cumsum(sizes) - sizes, train_tokens=sum(r["tokens"] for r in words), n_words=sum(r["words"] for r in words))
     if not words:
         return model
-    kind = "shard long, block binary, n1 long, n2 long, n3 long, n4 long"
-    partials = stash(blocks(True, model).applyInArrow(_by_key(_merge_pairs, model=model), kind), "lm-figures")
+    kind = f"{_BLOCK}, n1 long, n2 long, n3 long, n4 long"
+    partials = stash(merged_blocks(docs, model, True).applyInArrow(_by_key(_merge_pairs, model=model), kind), "lm-figures")
     model = replace(model, pair_discounts=discounts(*partials.agg(*[F.sum(f"n{k}") for k in (1, 2, 3, 4)]).first()))
     kind = "n1 long, n2 long, n3 long, n4 long, more long, pairs long"
-    ends = partials.select("shard", "block").groupBy("shard").applyInArrow(_by_key(_merge_figures, model=model), kind)
+    rows, senders = partials.select("part", "sender", "block"), 1 << bits
+    while senders > FAN * 16:  # figures are much smaller than counts
+        rows = rows.groupBy("part", F.expr(f"sender div {FAN * 16}").alias("senders")).applyInArrow(_by_key(_merge_partials), _BLOCK)
+        senders = -(-senders // (FAN * 16))
+    ends = rows.groupBy("part").applyInArrow(_by_key(_merge_figures, model=model), kind)
     t = ends.agg(*[F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "more", "pairs")]).first()
     d = discounts(t["n1"], t["n2"], t["n3"], t["n4"])
+    remove_at_end(spark, model.root)
     return replace(model, word_discounts=d, pairs=t["pairs"], word_backoff=d[0] * t["n1"] + d[1] * t["n2"] + d[2] * t["more"])
 
 
