@@ -13,6 +13,8 @@ from ..session import stash
 
 #: Above this many rows of (long) keys nothing is broadcast; a shuffle join takes over.
 BROADCAST_ROWS = 500_000
+#: Up to this many rows, whatever their keys, a table is broadcast rather than split by its keys.
+SMALL_ROWS = 10_000
 #: A key is hot if it holds at least 1/HOT_SHARE of all rows, so there are never more than HOT_SHARE hot keys.
 HOT_SHARE = 1_000
 #: Arrow batches are worked on in slices of at most this many bytes of text.
@@ -50,8 +52,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) ->
     """Inner join where ``right`` has one row a key and ``n`` says how many rows of ``left`` have that key.
 
     Keys with at least ``rows / HOT_SHARE`` rows (at most HOT_SHARE of them) are joined by broadcast and never shuffled,
-    the others by shuffle, so that no task gets more than about that share of the rows for one key.
+    the others by shuffle, so that no task gets more than about that share of the rows for one key. A ``right`` that a count
+    shows to be small is broadcast as a whole.
     """
+    if right.count() <= SMALL_ROWS:
+        return left.join(F.broadcast(right), key)
     hot = F.col(n) * HOT_SHARE >= F.lit(rows)
     most = right.where(hot)
     out = left.join(F.broadcast(most), key)

@@ -8,12 +8,16 @@ block away from its share.
 Weights are rounded to integers a of ``quanta``, so release times and deadlines repeat after ``quanta`` slots. Unless told, the
 quanta are the first of 10,000, 100,000, ... whose rounding moves no source by more than DRIFT blocks from its unrounded target
 until the mixture ends. The driver handles the slots of one period, or of the mixture if that is shorter: about one for each
-BLOCK_ROWS rows of the result. Workers join them, so no row carries a whole list.
+block of the result. A block has BLOCK_ROWS rows, or as many as it takes for the table to have at most MOST_BLOCKS blocks; the bound
+of less than one block holds for blocks of any size. There may be any number of sources. Workers join the slots, so no row carries a
+whole list.
 A source that ends before the others starts again (a further epoch), until the slowest source has been used up once: all
 rows are there at least once and the weights hold to the end.
 
 Defined cases: null sources are a source of their own (weights: key None); null doc_ids and repeated rows are rows like any
-other; a source with weights but no rows is left out; sources that the weights don't name are an error.
+other; null text is placed like the empty text and stays null; a source with weights but no rows is left out; sources that the weights
+don't name are an error, as is a source with rows whose weight is next to nothing (its rows would never come); an empty table gives an
+empty result. ``mix`` carries all other columns along, whatever their names; texts' lengths don't matter.
 """
 
 from __future__ import annotations
@@ -28,17 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stash
-from .common import BROADCAST_ROWS, positions
+from .common import BROADCAST_ROWS, join_hot, positions
 from .sharding import ranked
 
 BLOCK_ROWS = 16
 QUANTA = 10_000
 #: Most blocks by which rounded weights may move a source from its target.
 DRIFT = 0.05
-#: A mixture has at most so many sources; their weights are broadcast.
-MOST_SOURCES = 5_000
-#: The driver schedules at most so many slots; weights that need more (a large source with next to no weight) are an error.
-MOST_SLOTS = 50_000_000
+#: Blocks of the largest table, and slots that weights may ask the driver for (only a large source with next to no weight needs more).
+MOST_BLOCKS, MOST_SLOTS = 8_000_000, 50_000_000
 SEED = 23
 #: Default weights: shares of rows to this power.
 TEMPERATURE = 0.9
@@ -94,16 +96,15 @@ def period(shares: dict[str, int], most: int | None = None) -> dict[str, array]:
     return out
 
 
-def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS,
+def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, block_rows: int | None = None,
              quanta: int | None = None, seed: int = SEED, source: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, source, epoch, block, release, deadline, slot, position: one row for each place in the mixture."""
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     in_source, total = ranked(rows, seed, ["doc_id", "text_hash"])
     in_source = stash(in_source, "in_source")
-    sizes = {r["_stratum"]: r["_n"] for r in sorted(in_source.select("_stratum", "_n").distinct().limit(MOST_SOURCES + 1).collect())}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
+    block_rows = block_rows or max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
+    sizes = {r["_stratum"]: r["_n"] for r in sorted(in_source.select("_stratum", "_n").distinct().collect())}  # a row a source
     name = lambda s: "null" if s is None else f"={s}"
     target = {name(s): w for s, w in weights.items() if name(s) in sizes} if weights else {s: (n / total) ** temperature for s, n in sizes.items()}
     if missing := sorted(set(sizes) - set(target)):
@@ -116,7 +117,7 @@ def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temp
     end = max((at(s, blocks[s] - 1) for s in sizes), default=-1)  # the last slot of the source that needs most
     # Blocks that a source has up to the end.
     placed = {s: end // cycle * shares[s] + bisect_right(slots[s], end % cycle) for s in shares}
-    plan = spark.createDataFrame([(s, shares[s], placed[s], end) for s in shares], "_stratum string, a long, blocks long, last long")
+    plan = spark.createDataFrame([(s, sizes[s], shares[s], placed[s], end) for s in shares], "_stratum string, _n long, a long, blocks long, last long")
     one = "_stratum string, _turn long, _slot long"
     table = pa.table({
         "_stratum": pa.array([s for s in slots for _ in slots[s]], pa.string()), "_turn": pa.array([k for own in slots.values() for k in range(len(own))], pa.int64()),
@@ -126,7 +127,7 @@ def schedule(df: DataFrame, weights: dict[str | None, float] | None = None, temp
     rank = F.col("_rank") + F.col("epoch") * F.col("_n")
     epochs = F.expr(f"(blocks * {block_rows} - 1) div _n")
     dealt = (
-        in_source.join(F.broadcast(plan), "_stratum").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
+        join_hot(in_source.drop("_n"), plan, "_stratum", "_n", total).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
         .withColumn("block", F.floor(rank / block_rows)).withColumn("_within", rank % block_rows).where("block < blocks").withColumn("_turn", F.expr("block % a"))
         .join(F.broadcast(turns) if table.num_rows <= BROADCAST_ROWS else turns, ["_stratum", "_turn"])
         .withColumn("slot", F.expr(f"block div a * {cycle} + _slot")).where("slot <= last")

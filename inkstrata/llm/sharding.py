@@ -5,7 +5,9 @@ Sorted by that, the sources are interleaved in proportion everywhere, so any cut
 are such runs: their row counts differ by one at most (the ``rows`` law).
 
 Defined cases: null sources are a source of their own; null doc_ids and repeated rows are rows like any other (rows equal in
-id, size and checksum are interchangeable); null text has size 16; fewer rows than shards leave some shards empty.
+id, size and checksum are interchangeable); null text has size 16; fewer rows than shards leave some shards empty; an empty table
+gives an empty result. Other columns are never looked at (write_shards carries them along). Of a text only its size and its checksum
+travel, so very long ones are like any other.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ def ranked(rows: DataFrame, seed: int, ties: list[str], source: str = "source",
     One range shuffle by (source, key): a large source spans many partitions, and ranks are differences of places.
     """
     keyed = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null"))).withColumn(
-        "_key", F.sha1(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+        # The SHA-1's first 60 bits as a number: its order is that of the digits, and range samples are small.
+        "_key", F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("long")
     )
     placed, total = positions(keyed, ["_stratum", "_key", *ties])
     sizes = placed.groupBy("_stratum").agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))

@@ -45,3 +45,19 @@ def test_ten_thousand_quanta_where_they_are_enough(spark):
         sizes = {str(r["source"]): r["count"] for r in spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").groupBy("source").count().collect()}
         total = sum(sizes.values())
         assert sum(mixing.fitting({s: (n / total) ** mixing.TEMPERATURE for s, n in sizes.items()}, {s: -(-n // 16) for s, n in sizes.items()}).values()) == mixing.QUANTA
+
+
+def test_blocks_grow_with_the_table_and_any_number_of_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 50)
+    df = spark.range(6_000).selectExpr("id AS doc_id", "'x' AS text", "if(id % 3 = 0, 'hot', 's' || (id % 7)) AS source")
+    rows = mixing.schedule(df).orderBy("position").collect()
+    n = Counter(r["source"] for r in df.collect())
+    weights = {s: (k / 6_000) ** mixing.TEMPERATURE for s, k in n.items()}
+    count, whole = Counter(), sum(weights.values())
+    blocks = {r["slot"]: r["source"] for r in rows}
+    for t in sorted(blocks):
+        count[blocks[t]] += 1
+        assert all(abs(count[s] - w / whole * (t + 1)) < 1 + mixing.DRIFT for s, w in weights.items())
+    assert max(Counter((r["source"], r["block"]) for r in rows).values()) == 120 and {r["doc_id"] for r in rows} == set(range(6_000))
+    many = spark.range(12_000).selectExpr("id AS doc_id", "'x' AS text", "CAST(id % 6000 AS string) AS source")
+    assert mixing.schedule(many).select("doc_id").distinct().count() == 12_000

@@ -55,8 +55,10 @@ def test_positions(spark):
     assert common.positions(spark.createDataFrame([], "a int"), ["a"])[1] == 0
 
 
-def test_join_hot(spark, monkeypatch):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_join_hot(spark, monkeypatch, small):
     monkeypatch.setattr(common, "HOT_SHARE", 4)
+    monkeypatch.setattr(common, "SMALL_ROWS", small)
     left = spark.createDataFrame([(0,)] * 60 + [(i,) for i in range(1, 41)], "k int")
     right = left.groupBy("k").agg(F.count("*").alias("n"))
     assert common.join_hot(left, right, "k", "n", 100).count() == 100
