@@ -7,7 +7,7 @@ comparison finds two texts under one fingerprint, that fingerprint's rows are to
 
 Defined cases: null text is the empty text (all such rows are equal). Null doc_id sorts below every other; a group of only
 null ids has a null keep_id and keeps one row. Of rows that repeat the largest doc_id of a group, one copy is kept.
-An empty table gives an empty result. Other columns are never looked at.
+An empty table gives an empty result. Other columns are never looked at. Very long texts are hashed in chunks by several tasks.
 """
 
 from __future__ import annotations
@@ -68,16 +68,12 @@ def fingerprint(text: bytes) -> int:
     return polynomial(text, 0) << 31 | polynomial(text, 1)
 
 
-def _with_fp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fp_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns but for the text, and its fingerprint."""
     for b in slices(batches):
         fps = pa.array([fingerprint(t) for t in utf8(b)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, "fp"])
-
-
-def _fp_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _with_fp(batches):
         keep = [i for i, n in enumerate(b.schema.names) if n != "text"]
-        yield pa.RecordBatch.from_arrays([b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
+        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], fps], names=[*[b.schema.names[i] for i in keep], "fp"])
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +104,9 @@ def _fields(df: DataFrame) -> str:
 
 
 def fingerprints(docs: DataFrame, huge_bytes: int = HUGE_BYTES) -> DataFrame:
-    """(doc_id, text_sha256, fp) of (doc_id, text), one row a row. Texts over ``huge_bytes`` are hashed by several tasks."""
-    rows = docs.withColumn("text_sha256", F.sha2(F.col("text"), 256))
+    """(doc_id, text_sha256, h, fp) of (doc_id, text), one row a row; h is what a text is found by later, without hashing it again by
+    polynomials. Texts over ``huge_bytes`` are hashed by several tasks."""
+    rows = docs.withColumn("text_sha256", F.sha2(F.col("text"), 256)).withColumn("h", F.xxhash64("text"))
     small = rows.where(F.octet_length("text") <= huge_bytes)
     out = small.mapInArrow(_fp_only, _fields(small.drop("text")) + ", fp long")
     huge = stash(rows.where(F.octet_length("text") > huge_bytes).withColumn("uid", F.monotonically_increasing_id()), "huge")
@@ -153,15 +150,18 @@ def _stream(rows: DataFrame) -> DataFrame:
     return dealt.select("fp", "salt", "salts", "text").mapInArrow(_compare, "fp long, clash boolean, text string")
 
 
-def clashes(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Fingerprints (of groups: fp, n > 1) under which the streams found different texts.
+def clashes(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Fingerprints (of prints: h, fp) under which the streams found different texts.
 
-    Only texts that share a fingerprint are shuffled. A group of n > STREAM_ROWS rows is dealt over sqrt(n) streams of about
-    sqrt(n) rows; the streams' first rows are then compared with each other.
+    Only texts that share a fingerprint are shuffled; they are found by h. (Different texts with one h may come under each other's
+    fingerprint; their rows are told apart as those of any clash are.) A group of n > STREAM_ROWS rows is dealt, row by row, over
+    sqrt(n) streams of about sqrt(n) rows; the streams' first rows are then compared with each other.
     """
-    shared = groups.where("n > 1").select("fp", F.when(F.col("n") <= STREAM_ROWS, F.lit(1).cast("long")).otherwise(F.ceil(F.sqrt("n"))).alias("salts"))
-    with_fp = docs.mapInArrow(_with_fp, _fields(docs) + ", fp long")
-    rows = by_size(with_fp, shared, "fp", "inner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
+    each = stash(prints.groupBy("h", "fp").agg(F.count("*").alias("n")), "texts")
+    groups = each.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1")
+    salts = F.when(F.col("n") <= STREAM_ROWS, F.lit(1).cast("long")).otherwise(F.ceil(F.sqrt("n"))).alias("salts")
+    shared = stash(each.select("h", "fp").join(groups, "fp").select("h", "fp", salts), "shared")
+    rows = by_size(docs.withColumn("h", F.xxhash64("text")), shared, "h", "inner").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")))
     found = stash(_stream(rows), "compared")
     firsts = found.where("not clash").withColumn("salt", F.lit(0).cast("long")).withColumn("salts", F.lit(1).cast("long"))
     return found.where("clash").select("fp").unionByName(_stream(firsts).where("clash").select("fp")).distinct()
@@ -171,8 +171,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row a row of ``df``: doc_id, keep_id, group_size, kept, text_sha256."""
     docs = id_and_text(df, id_col=id_col, text_col=text_col)
     prints = stash(fingerprints(docs), "prints")
-    groups = prints.groupBy("fp").agg(F.count("*").alias("n"))
-    bad = stash(clashes(docs, stash(groups.where("n > 1"), "groups")), "clashes")
+    bad = stash(clashes(docs, prints), "clashes")
     rows = prints.withColumn("sub", F.lit(""))
     if (n_bad := bad.count()) > 0:
         told = bad.withColumn("bad", F.lit(True))

@@ -9,7 +9,7 @@ links are deduplicated. Chains of links are followed to whole components.
 Defined cases: null text is the empty text; texts without a word have fingerprint zero, which links like any other; texts
 with fewer words than a shingle have one shingle. Null doc_ids are passed over in the least id of a component, which is
 null only if all its ids are; drop_near keeps a row of each component, also of those that share an id or have none. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are
-never looked at.
+never looked at. Very long texts are read whole, in time in proportion to their length.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stash
@@ -87,8 +87,10 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius must be even, for two halves of it to meet")
     masks = F.array(*[F.lit(m).cast("long") for m in variants(radius // 2)])
-    near = prints.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
-    met = near.join(near.groupBy("variant").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1"), "variant")
+    # The few bytes of a fingerprint become 65 rows, so they are dealt over all cores first.
+    dealt = prints.select("fp").repartition(max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    near = dealt.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
+    met = near.withColumn("least", F.min("fp").over(Window.partitionBy("variant")))
     pairs = met.where("fp != least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 

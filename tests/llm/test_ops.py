@@ -544,7 +544,6 @@ def test_exact(spark, docs, edge, which, monkeypatch):
     df = docs if which == "docs" else edge
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     if which == "clash":  # a fingerprint that only knows the length: the comparison must tell the texts apart
-        monkeypatch.setattr(exact_dedup, "_with_fp", _bad_fp)
         monkeypatch.setattr(exact_dedup, "_fp_only", _bad_fp_only)
         monkeypatch.setattr(exact_dedup, "STREAM_ROWS", 2)
     if which == "huge":
@@ -552,20 +551,13 @@ def test_exact(spark, docs, edge, which, monkeypatch):
     assert Counter(map(tuple, exact_dedup.exact_groups(df).collect())) == brute_exact(rows)
 
 
-def _bad_fp(batches):
+def _bad_fp_only(batches):
     import pyarrow as pa
 
     for b in batches:
-        fps = pa.array([len(t) % 3 for t in common.utf8(b)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, "fp"])
-
-
-def _bad_fp_only(batches):
-    for b in _bad_fp(batches):
         keep = [i for i, n in enumerate(b.schema.names) if n != "text"]
-        import pyarrow as pa
-
-        yield pa.RecordBatch.from_arrays([b.column(i) for i in keep], names=[b.schema.names[i] for i in keep])
+        fps = pa.array([len(t) % 3 for t in common.utf8(b)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], fps], names=[*[b.schema.names[i] for i in keep], "fp"])
 
 
 def test_fingerprints_compose():
