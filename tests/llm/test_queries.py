@@ -9,7 +9,7 @@ import pytest
 from inkstrata.llm import queries
 
 from ..compare import database, same
-from .test_ops import brute_groups
+from .test_jaccard import brute_keep
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,7 +55,7 @@ def test_pipeline(spark):
     for d, t in rows("exact_dedup"):
         last[t] = max(last[t], d)
     assert sorted(rows("simhash_near_dedup")) == sorted((d, t) for t, d in last.items())
-    heads = {c for *_, c in brute_groups(rows("simhash_near_dedup"), 2)}
+    heads = set(brute_keep(rows("simhash_near_dedup")))
     assert sorted(d for d, _ in rows("pfair_mix")) == sorted(heads)
     mixed = rows("genetic_packing")
     assert {d for d, _ in mixed} == heads and len(mixed) >= len(heads)
