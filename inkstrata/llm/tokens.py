@@ -95,11 +95,12 @@ def cut(total: int, most: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, most) for at in range(first, total, most))]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], source: tuple, most: int, end: int, with_ids: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], source: tuple, most: int, end: int, with_ids: bool, place: str | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     own = encoder(*source)
     for b in slices(batches):
         out: dict[str, list] = {f: [] for f in schema.names}
-        for doc, text in zip(b.column("doc_id").to_pylist(), utf8(b), strict=True):
+        at_ = b.column(place).to_pylist() if place else [None] * b.num_rows
+        for doc, text, where in zip(b.column("doc_id").to_pylist(), utf8(b), at_, strict=True):
             ids = np.append(own.ids(text.decode()), np.uint32(end)).astype("<u4")
             for k, (at, n) in enumerate(cut(len(ids), most)):
                 piece = ids[at : at + n]
@@ -107,25 +108,28 @@ def _pieces(batches: Iterator[pa.RecordBatch], source: tuple, most: int, end: in
                     out[name].append(value)
                 if with_ids:
                     out["ids"].append(piece.astype(np.int32))
+                if place:
+                    out[place].append(where)
         yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
 def pieces(
     df: DataFrame, most: int = 1024, end: int = 2, vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken",
-    with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", place: str | None = None,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids: a text's ids, then ``end``, cut to ``most`` at most.
+    """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids: a text's ids, then ``end``, cut to ``most`` at most; the
+    column ``place`` (long) is carried along if it is named.
 
     ``vocabulary`` and ``ranks`` are names of public_tokenizers or paths. Null text is empty and has the one id ``end``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    docs = id_and_text(df, id_col=id_col, text_col=text_col)
+    docs = id_and_text(df, *([place] if place else []), id_col=id_col, text_col=text_col)
     found = lambda n: n if n is None or "/" in n else public_path(n)
     source = (found(vocabulary), found(ranks), public_pattern() if ranks else None)
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + f", {place} long" * bool(place)
     schema = to_arrow_schema(docs.sparkSession.createDataFrame([], ddl).schema)
-    return docs.mapInArrow(partial(_pieces, source=source, most=most, end=end, with_ids=with_ids, schema=schema), ddl)
+    return docs.mapInArrow(partial(_pieces, source=source, most=most, end=end, with_ids=with_ids, place=place, schema=schema), ddl)
 
 
 def total_tokens(found: DataFrame) -> int:
