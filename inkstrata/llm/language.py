@@ -9,7 +9,8 @@ A filter sums one table look-up for each byte of its width, and two bytes are lo
 takes three gathers a byte. Every window of every whole text is scored.
 
 Defined cases: null text and text without a letter give ``und`` with score 0; so does every text if no label is known. Null
-labels aren't learned from. Null or repeated doc_ids are rows like any other. Other columns are never looked at.
+labels aren't learned from. Null or repeated doc_ids are rows like any other. An empty table gives an empty result. Other columns
+are never looked at. Very long texts are scored whole, a bounded number of windows at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 512
 #: Bounds of the fit.
-MOST_DOCUMENTS, WINDOWS_EACH, EPOCHS = 3_000, 4, 8
+MOST_DOCUMENTS, WINDOWS_EACH, EPOCHS, SETTLED = 3_000, 4, 8, 0.005
 LETTER = re.compile(r"[^\W\d_]")
 PAD = 0x20
 
@@ -80,8 +81,11 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int = 5, batch: int = 64) -> Network:
-    """Adam on the cross entropy of single windows of at most WINDOW bytes. The gradient of a maximum goes to its place."""
+def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int = 5, batch: int = 64, settled: float = SETTLED) -> Network:
+    """Adam on the cross entropy of single windows of at most WINDOW bytes. The gradient of a maximum goes to its place.
+
+    Ends after an epoch whose mean cross entropy (of each batch before its step) is below ``settled``.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     goal = np.array([names.index(x) for x in labels])
@@ -95,20 +99,24 @@ def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int
     weight = len(goal) / (len(names) * np.bincount(goal, minlength=len(names)))
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(goal))
+        order, loss = rng.permutation(len(goal)), 0.0
         for lo in range(0, len(order), batch):
             own = order[lo : lo + batch]
-            x, y, rows = data[own], goal[own], np.arange(len(own))[:, None]
+            x, y, rows = data[own].astype(np.int32), goal[own], np.arange(len(own))[:, None]
             peaks, hidden = {}, []
             for w in WIDTHS:
                 n = WINDOW - w + 1
-                z = sum(params[f"{w}{j}"][x[:, j : n + j]] for j in range(w)) + params[f"b{w}"]
+                z = np.take(params[f"{w}0"], x[:, :n], axis=0)
+                for j in range(1, w):
+                    z += np.take(params[f"{w}{j}"], x[:, j : n + j], axis=0)
+                z += params[f"b{w}"]
                 peaks[w] = z.argmax(axis=1)
                 hidden.append(np.take_along_axis(z, peaks[w][:, None], 1)[:, 0])
             h = np.concatenate(hidden, axis=1)
             act = np.maximum(h, 0)
-            p = np.exp(log_softmax(act @ params["dense"] + params["last"]))
-            d = p
+            logs = log_softmax(act @ params["dense"] + params["last"])
+            loss -= float(logs[np.arange(len(own)), y].sum())
+            d = np.exp(logs)
             d[np.arange(len(own)), y] -= 1
             d *= (weight[y] / len(own))[:, None]
             grad = {"dense": act.T @ d, "last": d.sum(0)}
@@ -117,14 +125,15 @@ def train(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int
                 dw = dh[:, k * FILTERS : (k + 1) * FILTERS]
                 grad[f"b{w}"] = dw.sum(0)
                 for j in range(w):
-                    g = np.zeros((256, FILTERS), np.float32)
-                    np.add.at(g, (x[rows, peaks[w] + j], np.arange(FILTERS)[None]), dw)
-                    grad[f"{w}{j}"] = g
+                    at = x[rows, peaks[w] + j] * FILTERS + np.arange(FILTERS)[None]
+                    grad[f"{w}{j}"] = np.bincount(at.ravel(), weights=dw.ravel(), minlength=256 * FILTERS).reshape(256, FILTERS).astype(np.float32)
             step += 1
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 params[k] -= (0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        if loss < settled * len(goal):
+            break
     return Network(names, {w: [params[f"{w}{j}"] for j in range(w)] for w in WIDTHS}, {w: params[f"b{w}"] for w in WIDTHS}, params["dense"], params["last"])
 
 
@@ -166,9 +175,6 @@ def predict(net: Network, pairs: tuple, texts: list[bytes], at_once: int = 64) -
     return out
 
 
-_PAIRS: dict[int, tuple] = {}
-
-
 def _predict(batches: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatch]:
     pairs = net.pairs() if net.labels else ()
     for b in slices(batches):
@@ -196,7 +202,7 @@ def learn(df: DataFrame, most: int = MOST_DOCUMENTS, each: int = WINDOWS_EACH, i
     # and sent, whatever the number of tasks.
     share = 1.2 * most / max(1, known.count())
     few = rows.where(F.pmod(mark, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    found = few.select(mark.alias("m"), F.col(label).alias("label"), cut.alias("cut")).orderBy("m", "label").limit(most).collect()
+    found = few.select(mark.alias("m"), F.col(label).alias("label"), cut.alias("cut")).orderBy("m", "label", "cut").limit(most).collect()
     texts, labels = [], []
     for r in found:
         for t in dict.fromkeys(r["cut"]):
