@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions import text as T
+from ..session import stash
 
 #: Queries or terms are broadcast up to this many rows; beyond it they are shuffled, or taken in blocks.
 BROADCAST_ROWS = 200_000
@@ -38,23 +39,37 @@ class Index:
 
 def build_index(docs: DataFrame) -> Index:
     """Documents without a token count in n and avgdl, too."""
-    counted = _counted(docs)
-    return _index(counted, _exploded(counted, "doc_id", "len"))
+    return _index(_tokens(docs).withColumn("hit", F.col("term").isNotNull()))
+
+
+def index_for(docs: DataFrame, queries: DataFrame) -> Index:
+    """An index of the queries' terms only: other tokens end in the scan's own stage."""
+    terms = query_terms(queries).select("term").distinct().withColumn("hit", F.lit(True))
+    return _index(_tokens(docs).join(_small(terms), "term", "left").withColumn("hit", F.coalesce("hit", F.lit(False))).where("hit or head"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.search_tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
 
 
+def _tokens(docs: DataFrame) -> DataFrame:
+    """A row a token, the first of each document marked as its head; one row without a term for a document without tokens."""
+    return _counted(docs).select("doc_id", "len", F.posexplode_outer("tokens").alias("at", "term")).select("doc_id", "len", "term", (F.coalesce("at", F.lit(0)) == 0).alias("head"))
+
+
 def _exploded(rows: DataFrame, *keep: str) -> DataFrame:
     """A row a token. From a plain explode the optimizer infers a filter on the array's size and so computes the array twice."""
     return rows.select(*keep, F.explode_outer("tokens").alias("term")).where("term is not null")
 
 
-def _index(counted: DataFrame, hits: DataFrame) -> Index:
-    """Hits are dealt by document once: term frequencies, and later the scores of a query and document, need no other shuffle."""
-    postings = hits.repartition("doc_id").groupBy("doc_id", "term").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
-    lens = counted.select("doc_id", "len")
+def _index(tokens: DataFrame) -> Index:
+    """Documents are read once: counts, combined before they are shuffled, are written, and all else is computed from them.
+
+    A document's head keeps the document known, also if none of its tokens is a hit.
+    """
+    term = F.when(F.col("hit"), F.col("term")).alias("term")
+    counts = stash(tokens.groupBy("doc_id", "len", term).agg(F.count_if("hit").alias("tf"), F.bool_or("head").alias("head")), "postings")
+    postings, lens = counts.where("term is not null").select("doc_id", "len", "term", "tf"), counts.where("head").select("doc_id", "len")
     return Index(postings, lens, postings.groupBy("term").agg(F.count("*").alias("df")), stats(lens))
 
 
@@ -71,13 +86,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def index_for(docs: DataFrame, queries: DataFrame) -> Index:
-    """An index of the queries' terms only: documents are read once, and other tokens end in the scan's own stage."""
-    terms = query_terms(queries).select("term").distinct()
-    counted = _counted(docs)
-    return _index(counted, _exploded(counted, "doc_id", "len").join(_small(terms), "term", "left_semi"))
-
-
 def ranked(scores: DataFrame, k: int) -> DataFrame:
     """Adds rank and keeps those up to k; Spark cuts each task's rows to k before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
@@ -90,7 +98,8 @@ def bm25_scores(index: Index, queries: DataFrame, c: Retrieval = Retrieval()) ->
     weighted = query_terms(queries).join(index.df, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w"))
     norm = c.k1 * (1 - c.b + c.b * F.greatest("len", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
     part = F.col("w") * (F.col("tf") * (c.k1 + 1) / (F.col("tf") + norm))
-    return index.postings.join(_small(weighted), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
+    # Dealt by document once, so a document's scores for all queries, and their ranks within a task, need no other shuffle.
+    return index.postings.repartition("doc_id").join(_small(weighted), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(index: Index, queries: DataFrame, k: int = 10, c: Retrieval = Retrieval(), pad: bool = True) -> DataFrame:

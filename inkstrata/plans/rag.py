@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Retrieval
+from ..functions import text as T
 from ..operators import evaluation, retrieval
 from ..session import stash
 
+#: Words, or else characters, of the keys by which passages are looked up.
+RUN, GRAM = 5, 3
+
 
 def rankings(docs: DataFrame, queries: DataFrame, k: int, c: Retrieval = Retrieval()) -> dict[str, DataFrame]:
     """bm25, dense and hybrid-rrf: (query_id, rank, doc_id, score), from docs (doc_id, text) and queries (query_id, query)."""
@@ -32,23 +36,31 @@ def evaluate(docs: DataFrame, queries: DataFrame, gold: DataFrame, c: Retrieval
 def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(query_id, doc_id) where a document contains a passage (query_id, query).
 
-    A passage's first words are looked up among the documents' runs of as many words, so only documents that share them
-    are searched. Passages that begin or end within a document's word are found, too: the words compared are inner ones.
+    Candidates share a hashed run of words: a passage's inner words (it may begin or end within a document's word), five of them or
+    as many as it has. Passages of one or two words have no inner one; their first three characters are looked up instead. Only
+    candidates are searched, whatever the number of passages. Empty passages are found nowhere.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    inner = F.slice(words(F.col("query")), 2, 5)
-    whole = passages.withColumn("w", words(F.col("query")))
-    keyed = whole.where(F.size("w") >= 7).select("query_id", "query", F.array_join(inner, " ").alias("key"))
-    runs = docs.select("doc_id", words(F.col("text")).alias("w")).select(
-        "doc_id", F.explode_outer(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice(F.col("w"), i, 5), " ")))).alias("key")
-    )
-    n = passages.count()
-    near = runs.join(F.broadcast(keyed) if n <= retrieval.BROADCAST_ROWS else keyed, "key").select("doc_id", "query_id", "query").distinct()
-    found = near.join(docs, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
-    short = whole.where(F.size("w") < 7).select("query_id", "query")
-    if short.isEmpty():
-        return found
-    return found.unionByName(docs.join(F.broadcast(short), F.col("text").contains(F.col("query"))).select("query_id", "doc_id"))
+    inner = F.least(F.size("w") - 2, F.lit(RUN))
+    whole = passages.where("query != ''").withColumn("w", words(F.col("query"))).withColumn("m", F.greatest(inner, F.lit(0)))
+    gram = F.substring(F.col("query"), 1, GRAM)
+    keyed = stash(whole.select("query_id", "query", "m", F.when(F.col("m") > 0, F.xxhash64(F.slice("w", F.lit(2), F.greatest("m", F.lit(1))))).otherwise(F.xxhash64(gram)).alias("key"), F.length(gram).alias("g")), "passages")
+    sizes = keyed.select("m", F.when(F.col("m") == 0, F.col("g")).otherwise(0).alias("g")).distinct().collect()  # at most RUN + GRAM rows
+    text = docs.select("doc_id", T.text_of(F.col("text")).alias("text"))
+    split, near = text.select("doc_id", words(F.col("text")).alias("w")), None
+    places = lambda n: F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    for m, g in sorted((r["m"], r["g"]) for r in sizes):
+        if m:
+            keys = split.select("doc_id", F.explode_outer(F.array_distinct(F.transform(places(F.size("w") - m + 1), lambda i: F.xxhash64(F.slice("w", i, m))))).alias("key"))
+        else:
+            keys = text.select("doc_id", F.explode_outer(F.array_distinct(F.transform(places(F.length("text") - g + 1), lambda i: F.xxhash64(F.substring("text", i, F.lit(g)))))).alias("key"))
+        own = keyed.where((F.col("m") == m) & ((F.col("g") == g) if not m else F.lit(True))).select("query_id", "key")
+        found = keys.join(F.broadcast(own) if own.count() <= retrieval.BROADCAST_ROWS else own, "key").select("doc_id", "query_id").distinct()
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        return docs.sparkSession.createDataFrame([], ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, c in ((passages, "query_id"), (docs, "doc_id"))))
+    pairs = stash(near.join(keyed.select("query_id", "query"), "query_id"), "near")
+    return pairs.join(text, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
 
 
 def generate(docs: DataFrame, queries: DataFrame, hits: DataFrame, base: evaluation.Generate | None = None, adapter: evaluation.Generate | None = None, c: Retrieval = Retrieval()) -> DataFrame:

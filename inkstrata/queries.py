@@ -13,7 +13,7 @@ from .functions import text as T
 from .operators import chunking, corpus, dedup, evaluation, filtering, retrieval, selection, similarity
 from .operators import pairs as pairing
 from .plans import dataset, rag
-from .session import spread
+from .session import spread, stash
 from .sources import catalog, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,7 @@ def source_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offline_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = catalog.load_all(spark, most=1)
+    rows = catalog.load_all(spark, most=3)
     return rows.select("source_id", F.length("text").cast("long").alias("chars"), F.sha1("text").alias("sha"), F.size("metadata").cast("long").alias("n_meta"))
 
 
@@ -164,9 +164,10 @@ def judge_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_report(spark: SparkSession, d: str) -> DataFrame:
-    checked = filtering.heuristic(_pairs(spark, d)).select("stage", "kept")
-    judged = filtering.judge(_pairs(spark, d)).select(F.lit("llm_judge").alias("stage"), "kept")
-    return filtering.report(checked.unionByName(judged))
+    """Both filters in one pass over the pairs."""
+    checked = filtering.heuristic(_pairs(spark, d)).select("output", "chunk_id", "citations", F.struct("stage", "kept").alias("h"))
+    judged = filtering.judge(checked).select("h", F.struct(F.lit("llm_judge").alias("stage"), "kept").alias("j"))
+    return filtering.report(judged.select(F.explode(F.array("h", "j")).alias("x")).select("x.*"))
 
 
 def exact_dups(spark: SparkSession, d: str) -> DataFrame:
@@ -254,24 +255,29 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 # Evaluation.
 
 
+def _pairs_and_corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both from the same chunks, which are made once."""
+    chunks = stash(_chunks(spark, d), "chunks")
+    return dataset.ordered(pairing.generate(chunks)), corpus.dedupe(chunks)
+
+
 def eval_candidates(spark: SparkSession, d: str) -> DataFrame:
-    made = _pairs(spark, d)
+    made, own = _pairs_and_corpus(spark, d)
     train = made.where(selection.split(F.col("pair_id")) == "train").select("pair_id")
-    found = evaluation.candidates(made, corpus.dedupe(_chunks(spark, d)), train)
+    found = evaluation.candidates(made, own, train)
     return found.select("query_id", "query", F.col("gold_chunk_ids")[0].alias("gold"), "task")
 
 
 def eval_sample(spark: SparkSession, d: str) -> DataFrame:
     """50 rows, in turn from each source and task: the sample is the feature."""
-    made = _pairs(spark, d)
-    found = evaluation.round_robin(evaluation.candidates(made, corpus.dedupe(_chunks(spark, d))))
+    found = evaluation.round_robin(evaluation.candidates(*_pairs_and_corpus(spark, d)))
     return found.select("query_id", "source_id", "task")
 
 
 def eval_missing_gold(spark: SparkSession, d: str) -> DataFrame:
     """Gold ids that a corpus without its qa sections lacks."""
-    own = corpus.dedupe(_chunks(spark, d))
-    return evaluation.missing_gold(evaluation.candidates(_pairs(spark, d), own), own.where("section != 'qa'")).select("query_id", "chunk_id")
+    made, own = _pairs_and_corpus(spark, d)
+    return evaluation.missing_gold(evaluation.candidates(made, own), own.where("section != 'qa'")).select("query_id", "chunk_id")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
