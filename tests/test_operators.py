@@ -199,6 +199,11 @@ def test_contained(spark):
     docs = spark.createDataFrame([(1, "xx one two three four five six seven yy"), (2, "one two three four five six sevenfold"), (3, "one two three four five six"), (4, "short")], "doc_id long, text string")
     passages = spark.createDataFrame([(1, "one two three four five six seven"), (2, "short"), (3, "absent one two three four five six")], "query_id long, query string")
     assert {(r["query_id"], r["doc_id"]) for r in rag.contained(docs, passages).collect()} == {(1, 1), (1, 2), (2, 4)}
+    more = ["one", "e", "ne t", "two three", "ne two thr", "two  three", "three four five", "x one two three fo", "six sevenf", "a", "", "seven yy", "one two three four five six seven", "four five six se"]
+    passages = spark.createDataFrame(list(enumerate(more)), "query_id long, query string")
+    want = {(i, r["doc_id"]) for r in docs.collect() for i, q in enumerate(more) if q and q in r["text"]}
+    assert {(r["query_id"], r["doc_id"]) for r in rag.contained(docs, passages).collect()} == want
+    assert rag.contained(docs, passages.where("false")).count() == 0
 
 
 def test_dense_blocks(spark, monkeypatch):
