@@ -259,7 +259,7 @@ def _similar(a: str, b: str, threshold: float) -> str:
 
 def _walk(parts: str, statement: str) -> str:
     """A scan in order: nodes (rn, forced) are kept unless an earlier neighbour (edges: rn, before) is kept."""
-    return f"""WITH RECURSIVE nexts AS ({PARTS['nexts']}), talks AS ({PARTS['talks']}), {parts},
+    return f"""WITH RECURSIVE nexts AS MATERIALIZED ({PARTS['nexts']}), talks AS MATERIALIZED ({PARTS['talks']}), {parts},
  walk(i, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT n.rn, CASE WHEN n.forced OR len(list_intersect(kept, coalesce(e.before, CAST([] AS BIGINT[])))) = 0 THEN list_append(kept, n.rn) ELSE kept END
  FROM walk w JOIN nodes n ON n.rn = w.i + 1 LEFT JOIN edges e ON e.rn = n.rn), done AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) {statement}"""
 
@@ -310,15 +310,15 @@ def oracle_sql() -> dict[str, str]:
         "near_dup_pairs": _with(_jaccard_pairs("blocks", 0.88), near),
         "diversity_conflicts": _with(_jaccard_pairs("sets", 0.72), talk),
         "dedup_greedy": _walk(
-            f"""keyed AS (SELECT pos AS ord, row_number() OVER (ORDER BY pos) AS rn, sha1({plain("concat_ws('|', task, instruction, output)")}) AS fp, {tokens("concat_ws(' ', instruction, output)")} AS ts, source_id, task, output FROM talks),
-            nodes AS (SELECT *, false AS forced, concat_ws('|', source_id, task, length(output) // 80, array_to_string(list_sort(ts)[1:4], ' ')) AS block FROM keyed),
-            edges AS (SELECT b.rn, list(a.rn) AS before FROM nodes a JOIN nodes b ON a.rn < b.rn AND (a.fp = b.fp OR (a.block = b.block AND {_similar('a.ts', 'b.ts', 0.88)})) GROUP BY b.rn)""",
+            f"""keyed AS MATERIALIZED (SELECT pos AS ord, row_number() OVER (ORDER BY pos) AS rn, sha1({plain("concat_ws('|', task, instruction, output)")}) AS fp, {tokens("concat_ws(' ', instruction, output)")} AS ts, source_id, task, output FROM talks),
+            nodes AS MATERIALIZED (SELECT *, false AS forced, concat_ws('|', source_id, task, length(output) // 80, array_to_string(list_sort(ts)[1:4], ' ')) AS block FROM keyed),
+            edges AS MATERIALIZED (SELECT b.rn, list(a.rn) AS before FROM nodes a JOIN nodes b ON a.rn < b.rn AND (a.fp = b.fp OR (a.block = b.block AND {_similar('a.ts', 'b.ts', 0.88)})) GROUP BY b.rn)""",
             """SELECT ord AS pos, CASE WHEN list_contains(kept, n.rn) THEN 'dedup' WHEN EXISTS (SELECT 1 FROM nodes m WHERE m.fp = n.fp AND m.rn < n.rn AND list_contains(kept, m.rn)) THEN 'exact_dup'
             ELSE 'near_dup' END AS stage FROM nodes n, done"""),
         "diversity_greedy": _walk(
-            f"""keyed AS (SELECT pair_id, source_id, task, row_number() OVER (ORDER BY source_id, task, pair_id) AS rn, row_number() OVER (PARTITION BY source_id, task ORDER BY pair_id) = 1 AS forced,
-            {tokens("concat_ws(' ', task, instruction, output)")} AS ts FROM talks), nodes AS (SELECT * FROM keyed),
-            edges AS (SELECT b.rn, list(a.rn) AS before FROM nodes a JOIN nodes b ON a.rn < b.rn AND {_similar('a.ts', 'b.ts', 0.72)} GROUP BY b.rn)""",
+            f"""keyed AS MATERIALIZED (SELECT pair_id, source_id, task, row_number() OVER (ORDER BY source_id, task, pair_id) AS rn, row_number() OVER (PARTITION BY source_id, task ORDER BY pair_id) = 1 AS forced,
+            {tokens("concat_ws(' ', task, instruction, output)")} AS ts FROM talks), nodes AS MATERIALIZED (SELECT * FROM keyed),
+            edges AS MATERIALIZED (SELECT b.rn, list(a.rn) AS before FROM nodes a JOIN nodes b ON a.rn < b.rn AND {_similar('a.ts', 'b.ts', 0.72)} GROUP BY b.rn)""",
             "SELECT pair_id, source_id, task FROM nodes n, done WHERE list_contains(kept, n.rn)"),
         "group_caps": _with("SELECT pos AS doc_id, pair_id, source_id, task FROM pairs QUALIFY row_number() OVER (PARTITION BY task ORDER BY pos, block, st, k) <= 4000"),
         "hash_split": _with(f"SELECT doc_id, {split('doc_id')} AS split FROM docs"),
