@@ -119,13 +119,33 @@ class Settings:
         return cls(**made, extras=extras)
 
 
-def load_settings(path: str | Path) -> Settings:
+BUNDLED = Path(__file__).parent / "configs"
+
+
+def resolve(path: str | Path | None = None) -> Path:
+    """A settings file: the bundled default without a path, else the file there is, else the bundled one of the same name."""
+    if path is None:
+        return BUNDLED / "default.json"
+    for p in (Path(path), BUNDLED / Path(path).name):
+        if p.exists():
+            return p
+    raise FileNotFoundError(f"no settings at {path}, and none of that name are bundled")
+
+
+def load_settings(path: str | Path | None = None) -> Settings:
     """From JSON, or YAML if a YAML parser is installed."""
-    text = Path(path).read_text(encoding="utf-8")
-    if str(path).endswith((".yaml", ".yml")):
+    found = resolve(path)
+    text = found.read_text(encoding="utf-8")
+    if found.suffix in (".yaml", ".yml"):
         try:
             import yaml
         except ImportError as e:
             raise ImportError("reading YAML settings needs a YAML parser; use JSON") from e
-        return Settings.of(yaml.safe_load(text) or {})
-    return Settings.of(json.loads(text))
+        raw = yaml.safe_load(text) or {}
+    elif found.suffix == ".json":
+        raw = json.loads(text)
+    else:
+        raise ValueError(f"settings are JSON or YAML, not {found.suffix!r}")
+    if not isinstance(raw, dict):
+        raise TypeError(f"settings are a mapping, not {type(raw).__name__}")
+    return Settings.of(raw)

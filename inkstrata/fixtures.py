@@ -37,3 +37,9 @@ PANEL = [
     ("p4", "", ["x"], False, "", ""),
     ("p5", "Units grew 3.5% to 1,200.", [], False, "3.5%", "Units: 1,200 (3.5%)"),
 ]
+
+#: Lines of a chunk file: what is missing, empty or null gets a default; blank lines are passed over.
+LINES = [
+    '{"chunk_id": "c1", "source_id": "s", "section": "qa", "text": "One.", "start_sentence": 2, "end_sentence": 3, "propositions": [{"text": "One.", "source_sentence_index": 0, "score": 0.5}], "metadata": {"a": "b"}}',
+    "", '{"text": "Two."}', "   ", '{"chunk_id": "", "source_id": null, "section": "", "text": null, "start_sentence": 7}', '{"chunk_id": "c4", "text": "Four", "extra": {"x": 1}, "propositions": []}',
+]

@@ -6,6 +6,8 @@ there, too. Spark's trim() takes spaces only, so text is stripped by ``strip``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ REFUSAL_CUES = (
     "not in the context", "not stated", "insufficient", "cannot determine", "does not say", "not provided", "no go-live", "will update", "refuse", "missing from the excerpt",
 )
 SEARCH_TOKEN = r"(?iu)[a-z0-9%]+"
+GROUNDED_PROMPT = (
+    "Use only the retrieved excerpts below. Cite numbers that appear in them. If the excerpts do not contain the answer, say the information is not in the context.\n\nExcerpts:\n",
+    "\n\nQuestion:\n",
+)
+CONTEXT_LEAD = "\n\nContext from the source excerpt:\n"
+ROLE_MARKS = ("<|", "|>\n")
 METRIC_TOKEN = r"(?iu)[a-z0-9]+(?:\.[0-9]+)?%?|\$[0-9]+(?:\.[0-9]+)?[a-z]*"
 
 
@@ -214,16 +222,22 @@ def coalesce_text(fields: list[Column], others: list[Column]) -> Column:
 
 
 def grounded_prompt(query: Column, packed: Column) -> Column:
-    return F.concat(
-        F.lit("Use only the retrieved excerpts below. Cite numbers that appear in them. If the excerpts do not contain the answer, say the information is not in the context.\n\nExcerpts:\n"),
-        packed, F.lit("\n\nQuestion:\n"), query,
-    )
+    before, between = map(F.lit, GROUNDED_PROMPT)
+    return F.concat(before, packed, between, query)
 
 
-def chat(system: Column, instruction: Column, context: Column, output: Column) -> Column:
-    """A conversation as one text, for tokenizers without a template of their own."""
+def messages(system: Column, instruction: Column, context: Column, output: Column) -> Column:
+    """A conversation as array<struct<role, content>>: what chat templates take."""
     context = strip(text_of(context))
-    instruction = text_of(instruction)
-    user = F.when(context != "", F.concat(strip(instruction), F.lit("\n\nContext from the source excerpt:\n"), context)).otherwise(strip(instruction))
-    turn = lambda role, text: F.concat(F.lit(f"<|{role}|>\n"), text)
-    return F.concat(F.concat_ws("\n", turn("system", system), turn("user", user), turn("assistant", strip(text_of(output)))), F.lit("\n"))
+    asked = strip(text_of(instruction))
+    user = F.when(context != "", F.concat(asked, F.lit(CONTEXT_LEAD), context)).otherwise(asked)
+    return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in (("system", system), ("user", user), ("assistant", strip(text_of(output))))])
+
+
+def chat(system: Column, instruction: Column, context: Column, output: Column, template: Callable[[Column], Column] | None = None) -> Column:
+    """A conversation as one text: by a model's own ``template`` of messages (say, a pandas UDF around its tokenizer), else plain marks."""
+    told = messages(system, instruction, context, output)
+    if template is not None:
+        return template(told)
+    before, after = ROLE_MARKS
+    return F.concat(F.array_join(F.transform(told, lambda m: F.concat(F.lit(before), m["role"], F.lit(after), m["content"])), "\n"), F.lit("\n"))

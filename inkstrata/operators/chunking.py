@@ -80,6 +80,11 @@ def chunk(docs: DataFrame, c: Chunking = Chunking(), told: str | None = None) ->
     )
 
 
+def counts(chunks: DataFrame) -> DataFrame:
+    """One row: n_records (that have a chunk), n_chunks, n_propositions."""
+    return chunks.agg(F.count_distinct("pos").alias("n_records"), F.count("*").alias("n_chunks"), F.coalesce(F.sum(F.size("propositions")), F.lit(0)).cast("long").alias("n_propositions"))
+
+
 def records(docs: DataFrame, source: str = "source", order: str = "doc_id") -> DataFrame:
     """A table of documents as records."""
     return docs.select(F.coalesce(F.nullif(F.col(source), F.lit("")), F.lit("unknown")).alias("source_id"), T.text_of(F.col("text")).alias("text"), F.col(order).alias("pos"))

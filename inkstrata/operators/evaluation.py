@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from ..config import EvalSet, Retrieval
 from ..functions import text as T
 
-# Fixed values.
+# Prompts, placeholders and notes that results depend on.
+PROMPT_PARTS = ("Ticker: ", "\nTheme: ", "\n\nContext:\n", "\n\nQuestion:\n")
+NO_WEIGHTS = (" dry-run] No weights loaded. Packed context is ", " chars. Run on Kaggle with --run (and optional --adapter-dir) to fill generations.")
+NOTES = {True: "expect refusal / insufficient-context", False: "expect grounded citations"}
 DRY_RUN = {"base": "[dry-run] base model not loaded; run on Kaggle with --run", "adapter": "[dry-run] adapter not loaded; pass --adapter-dir after QLoRA --run"}
 
 
@@ -155,9 +158,8 @@ def generation_means(scored: DataFrame) -> DataFrame:
 
 def placeholder(side: str, packed: Column) -> Column:
     """What stands for an answer when no model is there."""
-    return F.concat(
-        F.lit(f"[{side} dry-run] No weights loaded. Packed context is "), F.length(packed).cast("string"), F.lit(" chars. Run on Kaggle with --run (and optional --adapter-dir) to fill generations.")
-    )
+    before, after = NO_WEIGHTS
+    return F.concat(F.lit(f"[{side}{before}"), F.length(packed).cast("string"), F.lit(after))
 
 
 Generate = Callable[[Column], Column]
@@ -170,9 +172,15 @@ def answers(rows: DataFrame, base: Generate | None = None, adapter: Generate | N
     return made[0].unionByName(made[1])
 
 
+def prompt(ticker: Column, theme: Column, context: Column, question: Column) -> Column:
+    """The panel's prompt."""
+    parts = [x for name, c in zip(PROMPT_PARTS, (ticker, theme, context, question), strict=True) for x in (F.lit(name), c)]
+    return F.concat(*parts)
+
+
 def user_text() -> Column:
-    """The panel's prompt from ticker, theme, context, prompt."""
-    return F.concat(F.lit("Ticker: "), F.col("ticker"), F.lit("\nTheme: "), F.col("theme"), F.lit("\n\nContext:\n"), F.col("context"), F.lit("\n\nQuestion:\n"), F.col("prompt"))
+    """The panel's prompt from the columns ticker, theme, context, prompt."""
+    return prompt(*map(F.col, ("ticker", "theme", "context", "prompt")))
 
 
 def compare_panel(panel: DataFrame, base: Generate | None = None, adapter: Generate | None = None) -> DataFrame:
@@ -181,7 +189,7 @@ def compare_panel(panel: DataFrame, base: Generate | None = None, adapter: Gener
     for side, f in (("base", base), ("adapter", adapter)):
         out = out.withColumn(f"{side}_output", F.lit(DRY_RUN[side]) if f is None else f(user_text()))
         out = out.withColumn(f"{side}_citation_hits", T.citation_hits(F.col(f"{side}_output"), F.col("must_cite")))
-    return out.withColumn("notes", F.when(F.col("refuse_if_missing"), "expect refusal / insufficient-context").otherwise("expect grounded citations"))
+    return out.withColumn("notes", F.when(F.col("refuse_if_missing"), NOTES[True]).otherwise(NOTES[False]))
 
 
 def panel_scores(compared: DataFrame) -> DataFrame:

@@ -20,6 +20,10 @@ QA_TEMPLATES = (
 SUMMARY_TEMPLATE = "Write a short research note grounded only in this {section} excerpt."
 LEADS = {"qa": "From the {section} excerpt, the supported facts are:", "summary": "Research note from the {section} excerpt (grounded):"}
 CLOSING = ". No figures beyond these source sentences."
+REWRITE = (
+    "Rewrite the draft answer so it reads like a concise research assistant. Keep every number and proper noun exactly as written. Do not add facts. Keep the Citations line intact.\n\nTASK: ",
+    "\nCHUNK:\n", "\n\nDRAFT:\n", "\n",
+)
 
 
 def _filled(template: str, label: Column) -> Column:
@@ -64,10 +68,8 @@ def generate(chunks: DataFrame, c: Pairing = Pairing(), rewrite: Callable[[Colum
     wide = rows.withColumn("m", F.explode(made))
     draft = F.col("m.draft")
     if rewrite is not None:
-        prompt = F.concat(
-            F.lit("Rewrite the draft answer so it reads like a concise research assistant. Keep every number and proper noun exactly as written. Do not add facts. Keep the Citations line intact.\n\nTASK: "),
-            F.col("m.task"), F.lit("\nCHUNK:\n"), F.col("text"), F.lit("\n\nDRAFT:\n"), draft, F.lit("\n"),
-        )
+        task, chunk, before, after = map(F.lit, REWRITE)
+        prompt = F.concat(task, F.col("m.task"), chunk, F.col("text"), before, draft, after)
         draft = F.coalesce(F.nullif(T.strip(rewrite(prompt)), F.lit("")), draft)
     return wide.select(
         "pos", "block", "start_sentence", F.col("m.k").alias("k"), T.pair_id(F.col("chunk_id"), F.col("m.task"), F.col("m.instruction")).alias("pair_id"), "chunk_id", "source_id",
@@ -76,6 +78,11 @@ def generate(chunks: DataFrame, c: Pairing = Pairing(), rewrite: Callable[[Colum
     )
 
 
+def counts(pairs: DataFrame) -> DataFrame:
+    """One row: n_pairs, n_qa, n_summary."""
+    return pairs.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("task") == "qa").alias("n_qa"), F.count_if(F.col("task") == "summary").alias("n_summary"))
+
+
 def from_conversations(turns: DataFrame) -> DataFrame:
     """A user's turn and the assistant's next one as a pair; the source is the conversation's number modulo 5."""
     from pyspark.sql import Window

@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 
 from . import fixtures
-from .sources.catalog import SAMPLES, SOURCES
 
 
 def _literal(x: object) -> str:
@@ -230,10 +229,20 @@ def _judge() -> str:
     hit = f"len(list_filter({cites}, lambda x: ({snippet} <> '' AND contains(lower(coalesce(output, '')), {snippet})) OR (chunk_id <> '' AND contains(lower(coalesce(output, '')), lower(chunk_id)))))"
     return f"round(0.7::DOUBLE * least(1.0::DOUBLE, {hit} / greatest(len({cites}), 1)) + 0.3::DOUBLE * CASE WHEN length(coalesce(output, '')) BETWEEN 40 AND 2000 THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END, 4)"
 
-
+#: What the catalog must say, written out again.
+_CATALOG = [
+    ("earnings_transcripts", "S&P 500 earnings call transcripts", "primary grounding corpus (prepared remarks + Q&A)", "transcript,content,text", "MIT on the HF card; still public-company disclosures only.", 400,
+     "kurry/sp500_earnings_transcripts", "https://huggingface.co/datasets/kurry/sp500_earnings_transcripts", "Large corpus. Always stream + cap with max_samples.", "train"),
+    ("fiqa", "FiQA financial QA", "seed research-style question distribution", "question,answer,text", "Academic / task release; check the HF card before redistribution.", 200,
+     "LLukas22/fiqa", "https://sites.google.com/view/fiqa/", "Question style prior; not grounded transcripts.", "train"),
+    ("finance_alpaca", "Finance-Alpaca / Wealth-Alpaca", "instruction-style finance pairs (style prior only)", "instruction,input,output,text", "Derived Alpaca + FiQA mix; treat as public research sample.", 150,
+     "gbharti/finance-alpaca", "https://huggingface.co/datasets/gbharti/finance-alpaca", "Style prior only; keep capped.", "train"),
+]
 _SAMPLE_TEXTS = [
-    (s, "\n\n".join(x for f in next(q[3] for q in SOURCES if q[0] == s) if (x := (r.get(f) or "").strip())), len([k for k in r if k != "text"]))
-    for s in dict.fromkeys(s for s, _ in SAMPLES) for r in [next(r for t, r in SAMPLES if t == s)]
+    ("earnings_transcripts", "Thank you for joining Apple's first quarter fiscal 2024 results. We set an all-time revenue record of $119.6 billion, up 2 percent year over year, driven by iPhone and Services.", 4),
+    ("earnings_transcripts", "Analyst: Can you talk about Azure growth excluding the impact of the extra calendar day? CEO: Azure grew 30 percent, and 28 percent constant currency, with AI services contributing several points.", 4),
+    ("fiqa", "What does a beat versus a miss mean on an earnings call?\n\nA beat means reported EPS or revenue exceeded the consensus estimate; a miss means results came in below that estimate.", 3),
+    ("finance_alpaca", "Explain prepared remarks versus the Q&A portion of an earnings call.\n\nPrepared remarks are a scripted management overview of results and outlook. Q&A is unscripted analyst questioning and is usually richer for research.", 4),
 ]
 _BOTH_PAIRS = f"(SELECT {_PAIR_COLUMNS} FROM talks UNION ALL SELECT {_PAIR_COLUMNS} FROM hand_pairs)"
 _ITEM = "SELECT query_id AS item_id, rank, doc_id, round(score, 6) AS score FROM {} WHERE rank <= 10"
@@ -247,6 +256,10 @@ _PANEL = f"""SELECT id, side, {overlap(metric('output'), metric('context'), 'f1'
 _SEED = "'3407|'"
 
 
+_EMBEDDING = """SELECT q_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM
+            (SELECT q.vec_id AS q_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10"""
+
+
 def _jaccard_pairs(rows: str, threshold: float) -> str:
     """rows: SQL of (ord, block, ts)."""
     return f"""SELECT a.ord AS id_a, b.ord AS id_b, round(len(list_intersect(a.ts, b.ts)) / (len(a.ts) + len(b.ts) - len(list_intersect(a.ts, b.ts))), 6) AS jaccard FROM {rows} a JOIN {rows} b ON a.block = b.block AND a.ord < b.ord
@@ -286,7 +299,7 @@ def oracle_sql() -> dict[str, str]:
     from_corpus = f"sum(CASE task WHEN 'qa' THEN length('From the ' || label || ' excerpt, the supported facts are:') ELSE length('Research note from the ' || label || ' excerpt (grounded):') END + 1 + length('- ' || substr(text, 1, 280)) + 2 + length('Citations: ' || chunk_id || '#s' || st || '. No figures beyond these source sentences.'))"
     scores = _generation("query"), _generation("CASE WHEN query_id % 2 = 0 THEN query END")
     return {
-        "source_catalog": _values([(s[0], s[1], s[2], ",".join(s[3]), s[5]) for s in SOURCES], "source_id, display_name, role, text_fields, cap").replace("SELECT *", "SELECT source_id, display_name, text_fields, CAST(cap AS BIGINT) AS cap"),
+        "source_catalog": _values(_CATALOG, "source_id, display_name, role, text_fields, license_note, cap, hf_id, homepage, notes, default_split").replace("SELECT *", "SELECT * REPLACE (CAST(cap AS BIGINT) AS cap)"),
         "offline_samples": f"SELECT source_id, length(text) AS chars, sha1(text) AS sha, CAST(n_meta AS BIGINT) AS n_meta FROM ({_values(_SAMPLE_TEXTS, 'source_id, text, n_meta')})",
         "text_coalescing": f"SELECT conv_id, turn, length({coalesced}) AS chars, sha1({coalesced}) AS sha FROM conversations",
         "source_caps": _with(f"SELECT source, count(*) AS n, CAST(sum(length(substr(text, 1, 12000))) AS BIGINT) AS chars, max(doc_id) AS last_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM docs WHERE text <> '') WHERE r <= {caps} GROUP BY source"),
@@ -321,14 +334,33 @@ def oracle_sql() -> dict[str, str]:
             edges AS MATERIALIZED (SELECT b.rn, list(a.rn) AS before FROM nodes a JOIN nodes b ON a.rn < b.rn AND {_similar('a.ts', 'b.ts', 0.72)} GROUP BY b.rn)""",
             "SELECT pair_id, source_id, task FROM nodes n, done WHERE list_contains(kept, n.rn)"),
         "group_caps": _with("SELECT pos AS doc_id, pair_id, source_id, task FROM pairs QUALIFY row_number() OVER (PARTITION BY task ORDER BY pos, block, st, k) <= 4000"),
+        "group_caps_all": f"""WITH RECURSIVE nexts AS MATERIALIZED ({PARTS['nexts']}), talks AS MATERIALIZED ({PARTS['talks']}),
+            line AS MATERIALIZED (SELECT pair_id, source_id AS s, CASE WHEN pos % 3 = 0 THEN 'summary' ELSE 'qa' END AS t, row_number() OVER (ORDER BY pos) AS rn FROM talks),
+            walk(i, kept) AS (SELECT 0::BIGINT, CAST([] AS STRUCT(s VARCHAR, t VARCHAR, rn BIGINT)[]) UNION ALL SELECT n.rn, CASE WHEN len(list_filter(kept, lambda x: x.s = n.s)) < 30 AND len(list_filter(kept, lambda x: x.t = n.t)) < 80
+              AND len(list_filter(kept, lambda x: x.s = n.s AND x.t = n.t)) < 22 THEN list_append(kept, {{'s': n.s, 't': n.t, 'rn': n.rn}}) ELSE kept END FROM walk JOIN line n ON n.rn = i + 1),
+            done AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1)
+            SELECT pair_id, s AS source_id, t AS task FROM line, done WHERE list_contains(list_transform(kept, lambda x: x.rn), rn)""",
+        "split_round_trip": _with(f"SELECT pair_id, {split('pair_id')} AS split, source_id, task, sha1(output) AS output_sha, 0::BIGINT AS n_cites FROM talks"),
+        "train_ids": _with(f"SELECT pair_id FROM talks WHERE {split('pair_id')} = 'train'"),
+        "jsonl_defaults": _values([("c1", "s", "qa", "One.", 2, 1, 1), ("unknown", "unknown", "unknown", "Two.", 0, 0, 0), ("unknown", "unknown", "unknown", "", 7, 0, 0), ("c4", "unknown", "unknown", "Four", 0, 0, 0)],
+            "chunk_id, source_id, section, text, start_sentence, n_propositions, n_meta").replace("SELECT *", "SELECT chunk_id, source_id, section, text, CAST(start_sentence AS BIGINT) AS start_sentence, CAST(n_propositions AS BIGINT) AS n_propositions, CAST(n_meta AS BIGINT) AS n_meta"),
+        "bm25_round_trip": _with(_ITEM.format("bmr")),
+        "embedding_round_trip": _EMBEDDING,
+        "eval_manifest": _with("SELECT count(*) AS n_queries, count(DISTINCT gold) AS n_unique_gold_chunks FROM taken", every | turns | {"taken": f"SELECT * FROM turned ORDER BY turn, sha1({_SEED} || source_id || '|' || task), source_id, task LIMIT 50"}),
+        "flow_counts": _with("SELECT (SELECT count(DISTINCT pos) FROM chunks) AS n_records, (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM props) AS n_propositions, count(*) AS n_pairs, count(*) FILTER (WHERE task = 'qa') AS n_qa, count(*) FILTER (WHERE task = 'summary') AS n_summary FROM pairs"),
+        "panel_themes": "SELECT DISTINCT 'theme ' || (item_id % 7) AS theme FROM benchmark",
+        "panel_prompts": """WITH items AS (SELECT *, 'T' || (item_id % 5) AS ticker, 'theme ' || (item_id % 7) AS theme FROM benchmark),
+            chosen AS (SELECT a.item_id AS asked_id, CASE WHEN a.item_id % 4 = 0 THEN f.item_id ELSE a.item_id END AS own FROM items a, (SELECT min(item_id) AS item_id FROM items) f),
+            told AS (SELECT asked_id, 'Ticker: ' || ticker || chr(10) || 'Theme: ' || theme || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN asked_id % 6 = 0 THEN 'Own context.' ELSE text END || chr(10) || chr(10) || 'Question:' || chr(10)
+              || CASE WHEN asked_id % 3 = 0 THEN 'Why?' ELSE 'What is said in item ' || item_id || '?' END AS prompt FROM chosen JOIN items ON item_id = own)
+            SELECT asked_id, sha1(prompt) AS sha, length(prompt) AS chars FROM told""",
         "hash_split": _with(f"SELECT doc_id, {split('doc_id')} AS split FROM docs"),
         "split_counts": _with(f"SELECT source, {split('doc_id')} AS split, count(*) AS n FROM docs GROUP BY ALL"),
         "bm25_stats": _with("SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfs) AS n_terms, (SELECT count(*) FROM tf) AS n_postings FROM st0"),
         "bm25_topk": _with(_ITEM.format("bmr")),
         "hash_embed_dims": _with("SELECT doc_id, CAST(idx AS BIGINT) AS idx, round(weight, 6) AS weight FROM hn"),
         "dense_topk": _with(_ITEM.format("dr")),
-        "embedding_topk": """SELECT q_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM
-            (SELECT q.vec_id AS q_id, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""",
+        "embedding_topk": _EMBEDDING,
         "hybrid_rrf_topk": _with(_ITEM.format("fr")),
         "retrieval_metrics": _with("""SELECT backend, CAST(k AS BIGINT) AS k, round(avg(round(coalesce(hit / nullif(n, 0), 0), 6)), 6) AS mean_recall, round(avg(round(coalesce(dcg / nullif(ideal, 0), 0), 6)), 6) AS mean_ndcg FROM per_query GROUP BY backend, k"""),
         "eval_candidates": _with("SELECT query_id, query, gold, task FROM cands", held),

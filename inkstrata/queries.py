@@ -12,9 +12,9 @@ from .config import Retrieval, Selection
 from .functions import text as T
 from .operators import chunking, corpus, dedup, evaluation, filtering, retrieval, selection, similarity
 from .operators import pairs as pairing
-from .plans import dataset, rag
-from .session import spread, stash
-from .sources import catalog, readers
+from .plans import dataset, panel, rag
+from .session import new_path, remove_at_end, spread, stash
+from .sources import catalog, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOP = 10
@@ -58,7 +58,8 @@ def _item(hits: DataFrame) -> DataFrame:
 
 
 def source_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.catalog(spark).select("source_id", "display_name", F.array_join("text_fields", ",").alias("text_fields"), F.col("cap").cast("long").alias("cap"))
+    return catalog.catalog(spark).select(
+        "source_id", "display_name", "role", F.array_join("text_fields", ",").alias("text_fields"), "license_note", F.col("cap").cast("long").alias("cap"), "hf_id", "homepage", "notes", "default_split")
 
 
 def offline_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +201,44 @@ def group_caps(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("ord.pos").alias("doc_id"), "pair_id", "source_id", "task")
 
 
+def group_caps_all(spark: SparkSession, d: str) -> DataFrame:
+    """Caps of sources, tasks and both that all bind and move each other; every third pair is a summary."""
+    rows = _talks(spark, d).select("ord", "pair_id", "source_id", F.when(F.col("ord") % 3 == 0, "summary").otherwise("qa").alias("task"))
+    return selection.group_caps(rows, Selection(max_per_source=30, max_per_task=80, max_per_source_task=22)).select("pair_id", "source_id", "task")
+
+
+def split_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Splits written as JSON lines and read again, each row with the file it was in."""
+    folder = _written(spark, lambda at: writers.splits(_split_talks(spark, d), at))
+    parts = [readers.read(spark, f"{folder}/{s}.jsonl", "pair").withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("pair_id", "split", "source_id", "task", F.sha1("output").alias("output_sha"), F.size("citations").cast("long").alias("n_cites"))
+
+
+def train_ids(spark: SparkSession, d: str) -> DataFrame:
+    return readers.train_ids(spark, _written(spark, lambda at: writers.splits(_split_talks(spark, d), at)))
+
+
+def _split_talks(spark: SparkSession, d: str) -> DataFrame:
+    rows = _talks(spark, d).drop("ord", "pos")
+    return rows.withColumn("split", selection.split(F.col("pair_id")))
+
+
+def _written(spark: SparkSession, write: Callable[[str], object]) -> str:
+    """A new folder in the shared one, filled by ``write`` and removed when the driver ends."""
+    folder = new_path(spark, "written")
+    write(folder)
+    remove_at_end(spark, folder)
+    return folder
+
+
+def jsonl_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Hand-made lines with blank lines, missing and empty fields, read as chunks."""
+    folder = _written(spark, lambda at: spark.createDataFrame([(x,) for x in fixtures.LINES], "value string").coalesce(1).write.text(at))
+    rows = readers.read(spark, folder, "chunk")
+    return rows.select("chunk_id", "source_id", "section", "text", F.col("start_sentence").cast("long").alias("start_sentence"), F.size("propositions").cast("long").alias("n_propositions"), F.size("metadata").cast("long").alias("n_meta"))
+
+
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", selection.split(F.col("doc_id").cast("string")).alias("split"))
 
@@ -222,6 +261,21 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     return index.stats.crossJoin(index.df.agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))).select("n", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")
 
 
+def bm25_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten by an index of all terms that was written and read again."""
+    folder = _written(spark, lambda at: writers.index(retrieval.build_index(_docs(spark, d)), at))
+    return _item(retrieval.bm25(writers.read_index(spark, folder), _queries(spark, d), TOP))
+
+
+def embedding_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten by vectors that were written in single precision and read again."""
+    own = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    rows = writers.read_embeddings(spark, _written(spark, lambda at: writers.embeddings(own, at)))
+    asked = rows.where(F.col("doc_id") % 100 == 0).withColumnRenamed("doc_id", "query_id")
+    found = retrieval.dense(rows, asked, TOP)
+    return found.select(F.col("query_id").alias("q_id"), F.col("rank").cast("long").alias("rank"), F.col("doc_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = _docs(spark, d), _queries(spark, d)
     return _item(retrieval.bm25(retrieval.index_for(docs, queries), queries, TOP))
@@ -274,6 +328,10 @@ def eval_sample(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "source_id", "task")
 
 
+def eval_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.eval_manifest(evaluation.round_robin(evaluation.candidates(*_pairs_and_corpus(spark, d))))
+
+
 def eval_missing_gold(spark: SparkSession, d: str) -> DataFrame:
     """Gold ids that a corpus without its qa sections lacks."""
     made, own = _pairs_and_corpus(spark, d)
@@ -305,6 +363,32 @@ def generation_items(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("query_id").alias("item_id"), "side", "citation_rate", "f1_context", "f1_gold", "grounded")
 
 
+def flow_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the flow's steps report: records, chunks, propositions; pairs by task."""
+    chunks = stash(_chunks(spark, d), "chunks")
+    return chunking.counts(chunks).crossJoin(F.broadcast(pairing.counts(pairing.generate(chunks))))  # one row each
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's items as a panel."""
+    i = F.col("item_id")
+    return _table(spark, d, "benchmark").select(
+        i.cast("string").alias("id"), F.concat(F.lit("T"), (i % 5).cast("string")).alias("ticker"), F.concat(F.lit("theme "), (i % 7).cast("string")).alias("theme"),
+        F.col("text").alias("context"), F.concat(F.lit("What is said in item "), i.cast("string"), F.lit("?")).alias("prompt"), i.alias("ord"))
+
+
+def panel_themes(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.themes(_items(spark, d))
+
+
+def panel_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Asked: every item by its label; every third with a question of its own, every sixth with a context; every fourth label is unknown."""
+    items, i = _items(spark, d), F.col("ord")
+    asked = items.select(
+        i.alias("asked_id"), F.when(i % 4 == 0, "unknown").otherwise(panel.label()).alias("label"), F.when(i % 3 == 0, " Why? ").alias("question"), F.when(i % 6 == 0, "\tOwn context. ").alias("asked_context"))
+    return panel.by_label(asked, items).select("asked_id", F.sha1("prompt").alias("sha"), F.length("prompt").cast("long").alias("chars"))
+
+
 def panel_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.panel_means(evaluation.panel_scores(_panel(spark)))
 
@@ -321,8 +405,8 @@ def _panel(spark: SparkSession) -> DataFrame:
 QUERIES: tuple[Query, ...] = (
     bm25_topk, source_catalog, offline_samples, text_coalescing, source_caps, sentence_counts, section_blocks, sentence_windows, propositions_topk, token_overlap, citation_hits,
     refusal_flags, chat_texts, grounded_pairs, corpus_dedupe, corpus_manifest, corpus_pairs, heuristic_filter, judge_scores, filter_report, exact_dups, near_dup_pairs,
-    diversity_conflicts, dedup_greedy, diversity_greedy, group_caps, hash_split, split_counts, dataset_build, bm25_stats, hash_embed_dims, dense_topk, embedding_topk, hybrid_rrf_topk,
-    retrieval_metrics, eval_candidates, eval_sample, eval_missing_gold, context_pack, generation_scores, generation_items, panel_scores, panel_items,
+    diversity_conflicts, dedup_greedy, diversity_greedy, group_caps, group_caps_all, hash_split, split_counts, split_round_trip, train_ids, jsonl_defaults, dataset_build, bm25_stats, bm25_round_trip, embedding_round_trip, hash_embed_dims, dense_topk, embedding_topk, hybrid_rrf_topk,
+    retrieval_metrics, eval_candidates, eval_sample, eval_manifest, eval_missing_gold, flow_counts, panel_themes, panel_prompts, context_pack, generation_scores, generation_items, panel_scores, panel_items,
 )
 
 

@@ -37,7 +37,14 @@ SAMPLES = (
         "source_id": "finance_alpaca", "instruction": "Explain prepared remarks versus the Q&A portion of an earnings call.", "input": "",
         "output": "Prepared remarks are a scripted management overview of results and outlook. Q&A is unscripted analyst questioning and is usually richer for research."}),
 )
-CATALOG = "source_id string, display_name string, role string, text_fields array<string>, license_note string, cap int"
+# Source, public id in the store, homepage, notes; all of them read this split.
+ORIGINS = {
+    "earnings_transcripts": ("kurry/sp500_earnings_transcripts", "https://huggingface.co/datasets/kurry/sp500_earnings_transcripts", "Large corpus. Always stream + cap with max_samples."),
+    "fiqa": ("LLukas22/fiqa", "https://sites.google.com/view/fiqa/", "Question style prior; not grounded transcripts."),
+    "finance_alpaca": ("gbharti/finance-alpaca", "https://huggingface.co/datasets/gbharti/finance-alpaca", "Style prior only; keep capped."),
+}
+DEFAULT_SPLIT = "train"
+CATALOG = "source_id string, display_name string, role string, text_fields array<string>, license_note string, cap int, hf_id string, hf_config string, homepage string, notes string, default_split string"
 #: What an error says when a store limits requests.
 LIMIT_CUES = ("429", "rate limit", "ratelimited", "too many requests")
 
@@ -45,7 +52,11 @@ Reader = Callable[[SparkSession, str], DataFrame]
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, n, r, list(f), lic, cap) for s, n, r, f, lic, cap in SOURCES], CATALOG)
+    rows = []
+    for s, n, r, f, lic, cap in SOURCES:
+        stored, homepage, notes = ORIGINS[s]
+        rows.append((s, n, r, list(f), lic, cap, stored, None, homepage, notes, DEFAULT_SPLIT))
+    return spark.createDataFrame(rows, CATALOG)
 
 
 def source(source_id: str) -> tuple:

@@ -21,6 +21,7 @@ DEFAULTS = {
     "pair": {"pair_id": "unknown", "task": "qa"},
     "eval": {"source": "grounded_pair", "task": "qa", "source_id": "unknown"},
     "panel": {"task": "qa"},
+    "comparison": {},
 }
 #: Without these a row is an error.
 REQUIRED = {"corpus": ("chunk_id",), "eval": ("query_id", "query"), "panel": ("id", "prompt")}

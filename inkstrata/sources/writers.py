@@ -50,17 +50,52 @@ def splits(chosen: DataFrame, folder: str, told: dict | None = None, c: Selectio
 
 
 def filter_report(decisions: DataFrame, path: str, most: int = 5_000) -> dict:
-    """Counts of all decisions, and the first ``most`` of them (a feature of the report)."""
+    """Counts of all decisions, and the first ``most`` of them (a feature of the report): by ord if there is one, else by pair_id."""
     n, kept = decisions.agg(F.count("*"), F.count_if("kept")).first()
     stages = {r["stage"]: r["n"] for r in decisions.where("not kept").groupBy("stage").agg(F.count("*").alias("n")).collect()}
     payload = {
         "n_in": n, "n_kept": kept, "n_dropped": n - kept, "dropped_by_stage": {s: stages.get(s, 0) for s in ("heuristic", "exact_dup", "near_dup", "llm_judge")},
-        "decisions": [r.asDict(recursive=True) for r in decisions.limit(most).collect()], "decisions_truncated": n > most,
+        "decisions": [r.asDict(recursive=True) for r in decisions.orderBy(*[c for c in ("ord", "pair_id", "stage") if c in decisions.columns]).limit(most).collect()], "decisions_truncated": n > most,
     }
     report(decisions.sparkSession, payload, path)
     return payload
 
 
+def comparison(compared: DataFrame, path: str, meta: dict | None = None) -> dict:
+    """A compared panel as one document: n_items, dry_run (no base has answered), meta, rows by id. A panel has few rows."""
+    rows = [r.asDict(recursive=True) for r in compared.orderBy("id").collect()]
+    payload = {"n_items": len(rows), "dry_run": all(r["base_output"].startswith("[dry-run]") for r in rows), "meta": meta or {}, "rows": rows}
+    report(compared.sparkSession, payload, path)
+    return payload
+
+
+def metrics(compared: DataFrame, scores: DataFrame, path: str, source: str = "memory", dry_run: bool = False) -> dict:
+    """A panel's report as one document: counts, the means of both sides, and every item's scores."""
+    from ..operators.evaluation import panel_means
+
+    means = {r["side"]: {k: v for k, v in r.asDict().items() if k != "side"} for r in panel_means(scores).collect()}
+    n, cited, refusals = compared.agg(F.count("*"), F.count_if(F.size("must_cite") > 0), F.count_if("refuse_if_missing")).first()
+    items: dict[str, dict] = {r["id"]: r.asDict() for r in compared.select("id", "task", "theme", "refuse_if_missing", "notes").orderBy("id").collect()}
+    for r in scores.collect():
+        items[r["id"]][r["side"]] = {k: v for k, v in r.asDict().items() if k not in ("id", "side")}
+    empty = dict.fromkeys(("token_f1_vs_context", "token_jaccard_vs_context", "citation_hit_rate", "refusal_accuracy"))
+    payload = {
+        "n_items": n, "n_citation_items": cited, "n_refusal_items": refusals, "dry_run": dry_run, "source": source,
+        "aggregate": {s: means.get(s, empty) for s in ("base", "adapter")}, "items": list(items.values()),
+    }
+    report(compared.sparkSession, payload, path)
+    return payload
+
+
+def card_value(x: object, digits: int = 4) -> str:
+    """A figure as a card shows it: TBD for nothing, floats to ``digits``, maps as k=v in the order of short keys first."""
+    if x is None or x == {}:
+        return "TBD"
+    if isinstance(x, dict):
+        return ", ".join(f"{k}={card_value(x[k], digits)}" for k in sorted(x, key=lambda k: (len(str(k)), str(k))))
+    return f"{x:.{digits}f}" if isinstance(x, float) else str(x)
+
+
 def index(found: Index, folder: str) -> None:
     """Postings are clustered by term, so a query's reads skip most of them."""
     found.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")

@@ -376,3 +376,71 @@ def test_stream_grows_the_corpus(spark, tmp_path):
         streaming.grow_corpus(stream, str(tmp_path / "corpus"), str(tmp_path / "state")).awaitTermination()
         rows = spark.read.parquet(str(tmp_path / "corpus"))
         assert rows.count() == rows.select("chunk_id").distinct().count() == (2 if add else 1)
+
+
+def test_panel_flow(spark, tmp_path):
+    from inkstrata.plans import panel
+
+    items = [
+        {"id": "p1", "task": "qa", "ticker": "A", "theme": "margin", "prompt": "What is the margin?", "context": "Margin was 18.4%.", "must_cite": ["18.4%"]},
+        {"id": "p2", "theme": "cash", "prompt": "What of cash?", "context": "Cash was 5.", "refuse_if_missing": True},
+    ]
+    (tmp_path / "panel.jsonl").write_text("\n\n".join(map(json.dumps, items)) + "\n")
+    src, out, told = (str(tmp_path / n) for n in ("panel.jsonl", "comparison", "metrics"))
+    assert panel.compare(spark, src, out) == {"n_items": 2, "out_path": out, "dry_run": True, "themes": ["cash", "margin"]}
+    dry = writers.read_report(spark, out)
+    assert dry["dry_run"] and dry["meta"] == {} and [r["notes"] for r in dry["rows"]] == ["expect grounded citations", "expect refusal / insufficient-context"]
+    panel.compare(spark, src, out, base=lambda p: F.lit("I don't know."), adapter=lambda p: F.when(p.contains("margin"), "The margin was 18.4%.").otherwise("It is not stated."), meta={"run": 1})
+    stored = writers.read_report(spark, out)
+    assert not stored["dry_run"] and stored["meta"] == {"run": 1} and stored["rows"][0]["adapter_citation_hits"] == ["18.4%"]
+    assert [tuple(r) for r in panel.read_comparison(spark, out).orderBy("id").select("id", "task", "must_cite", "base_citation_hits").collect()] == [("p1", "qa", ["18.4%"], []), ("p2", "qa", [], [])]
+    got = panel.score(spark, out, told)
+    assert got["n_items"] == 2 and got["aggregate"]["adapter"]["citation_hit_rate"] == 1.0 and got["aggregate"]["adapter"]["refusal_accuracy"] == 1.0
+    report = writers.read_report(spark, told)
+    assert (report["n_citation_items"], report["n_refusal_items"]) == (1, 1) and report["items"][1]["base"]["refusal_correct"] is False
+    assert report["aggregate"]["base"]["refusal_accuracy"] == 0.0
+
+
+def test_prompts_by_label(spark):
+    from inkstrata.plans import panel
+
+    cols = "id string, ticker string, theme string, context string, prompt string, ord int"
+    items = spark.createDataFrame([("a", "T", "x", "ctx a", "ask a", 1), ("b", "U", "y", "ctx b", "ask b", 2), ("b", "U", "y", "ctx b2", "ask b2", 3)], cols)
+    asked = spark.createDataFrame([(1, "b · U · y", "", ""), (2, "none", None, None), (3, "b · U · y", " own ", " "), (4, None, "own", " mine ")], "asked_id int, label string, question string, asked_context string")
+    got = {r["asked_id"]: r["prompt"] for r in panel.by_label(asked, items).collect()}
+    lead = lambda t, x, c, q: f"Ticker: {t}\nTheme: {x}\n\nContext:\n{c}\n\nQuestion:\n{q}"
+    assert got == {1: lead("U", "y", "ctx b2", "ask b2"), 2: lead("T", "x", "ctx a", "ask a"), 3: lead("U", "y", "ctx b2", "own"), 4: lead("T", "x", "mine", "own")}
+    got = {r["asked_id"]: r["prompt"] for r in panel.by_label(asked, items.where("false")).collect()}
+    assert got[1] == panel.NO_ITEMS and got[4] == lead("CUSTOM", "custom", "mine", "own")
+
+
+def test_chat_template_hook(spark):
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def template(told):
+        return told.map(lambda rows: "".join(f"[{r['role'] if isinstance(r, dict) else r[0]}]{r['content'] if isinstance(r, dict) else r[1]}" for r in rows))
+
+    rows = spark.createDataFrame([("a", " ask ", None, " out ", "train"), ("b", "ask", " ctx", "out", "train")], "pair_id string, instruction string, context string, output string, split string")
+    assert dataset.training_plan(rows, "sys", template).first()["previews"] == ["[system]sys[user]ask[assistant]out", "[system]sys[user]ask\n\nContext from the source excerpt:\nctx[assistant]out"]
+
+
+def test_card_values():
+    assert [writers.card_value(x) for x in (None, 0.5, 3, "x", {}, {"10": 0.25, "1": None, "b": 2}, True)] == ["TBD", "0.5000", "3", "x", "TBD", "1=TBD, b=2, 10=0.2500", "True"]
+
+
+def test_bundled_settings(tmp_path):
+    from inkstrata import config
+
+    assert config.load_settings() == config.Settings() == config.load_settings("nowhere/default.json")
+    (tmp_path / "default.json").write_text('{"retrieval": {"k1": 2.0, "other": 1}, "more": {}}')
+    own = config.load_settings(tmp_path / "default.json")
+    assert own.retrieval.k1 == 2.0 and own.extras == {"more": {}, "retrieval": {"other": 1}}
+    with pytest.raises(FileNotFoundError):
+        config.load_settings("nowhere/at_all.json")
+    (tmp_path / "x.txt").write_text("")
+    with pytest.raises(ValueError, match="JSON or YAML"):
+        config.load_settings(tmp_path / "x.txt")
+    (tmp_path / "l.json").write_text("[]")
+    with pytest.raises(TypeError):
+        config.load_settings(tmp_path / "l.json")
