@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(name: str = "inkstrata", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
@@ -16,7 +21,25 @@ def session(name: str = "inkstrata", master: str | None = None, **conf: str) ->
         builder = builder.master(master)
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers by way of the shared folder, for clusters where it isn't installed. Once a session."""
+    if (app := spark.sparkContext.applicationId) not in _SHIPPED:
+        package, packed = Path(__file__).parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted([*package.rglob("*.py"), *package.rglob("*.json")]):
+                z.write(p, p.relative_to(package.parent))
+        path = new_path(spark, "inkstrata") + ".zip"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+        out.write(packed.getvalue())
+        out.close()
+        spark.sparkContext.addPyFile(path)
+        remove_at_end(spark, path)
+        _SHIPPED.add(app)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
