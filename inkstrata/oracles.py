@@ -200,10 +200,12 @@ def _generation(gold: str) -> dict[str, str]:
 def _with(statement: str, more: dict[str, str] | None = None) -> str:
     parts = PARTS | (more or {})
     needed: list[str] = []
+    open_: set[str] = set()  # a recursive part names itself
 
     def visit(sql: str) -> None:
         for name in parts:
-            if name not in needed and re.search(rf"(FROM|JOIN|,)\s*\(?{name}\b|\b(FROM|JOIN)\s+{name}\b", sql):
+            if name not in needed and name not in open_ and re.search(rf"(FROM|JOIN|,)\s*\(?{name}\b|\b(FROM|JOIN)\s+{name}\b", sql):
+                open_.add(name)
                 visit(parts[name])
                 needed.append(name)
 
@@ -277,6 +279,49 @@ def _walk(parts: str, statement: str) -> str:
  FROM walk w JOIN nodes n ON n.rn = w.i + 1 LEFT JOIN edges e ON e.rn = n.rn), done AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) {statement}"""
 
 
+def _dropped(nodes: str, edges: str) -> str:
+    """Nodes that a scan in order drops. nodes: (rn, forced); edges: (a, rn) with a before rn. Only nodes with an earlier neighbour are walked:
+    one is dropped if any of its earlier neighbours is not. Gives lists in a row each step; the last is the result."""
+    return f"""SELECT 0::BIGINT AS i, CAST([] AS BIGINT[]) AS dropped UNION ALL
+        SELECT i + 1, CASE WHEN len(list_filter(before, lambda a: NOT list_contains(dropped, a))) > 0 THEN list_append(dropped, rn) ELSE dropped END
+        FROM {nodes}_walk w JOIN (SELECT rn, before, row_number() OVER (ORDER BY rn) AS step FROM (SELECT rn, list(a) AS before FROM {edges} WHERE rn NOT IN (SELECT rn FROM {nodes} WHERE forced) GROUP BY rn)) ON step = i + 1"""
+
+
+def _dataset() -> str:
+    """The flow from documents to split pairs. Blocks have fewer pairs than the 64 that a new one is compared with."""
+    own = "CASE WHEN col = 's' THEN s ELSE t END"
+    parts = {
+        "recs": "SELECT doc_id AS pos, coalesce(nullif(source, ''), 'unknown') AS source_id, text FROM docs",
+        "good": f"SELECT *, row_number() OVER (ORDER BY pos, block, st, k) AS rn FROM (SELECT *, text AS context, cites AS citations FROM pairs) WHERE len({_heuristics()}) = 0",
+        "told": f"""SELECT rn, pair_id, source_id, task, instruction, output, sha1({plain("concat_ws('|', task, instruction, output)")}) AS fp, {tokens("concat_ws(' ', instruction, output)")} AS ts FROM good""",
+        "dn": "SELECT *, false AS forced, concat_ws('|', source_id, task, length(output) // 80, array_to_string(list_sort(ts)[1:4], ' ')) AS bk FROM told",
+        "de": f"""SELECT a.rn AS a, b.rn FROM dn a JOIN dn b ON a.fp = b.fp AND a.rn < b.rn UNION SELECT a.rn, b.rn FROM dn a JOIN dn b ON a.bk = b.bk AND a.rn < b.rn AND {_similar('a.ts', 'b.ts', 0.88)}""",
+        "dn_walk": _dropped("dn", "de"),
+        "once": "SELECT rn, pair_id, source_id AS s, task AS t, instruction, output FROM dn WHERE NOT list_contains((SELECT dropped FROM dn_walk ORDER BY i DESC LIMIT 1), rn)",
+        "few": "SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY s, t ORDER BY rn) <= 2000",
+        # Cuts are found one after the other: the first pair that is too many for its source or task ends that one.
+        "cutting": f"""SELECT 0 AS i, CAST([] AS STRUCT(col VARCHAR, name VARCHAR, stop BIGINT)[]) AS cuts UNION ALL
+            SELECT i + 1, list_append(cuts, e) FROM (SELECT i, cuts, (SELECT arg_min({{'col': col, 'name': {own}, 'stop': rn}}, rn) FROM (
+                SELECT col, s, t, rn, row_number() OVER (PARTITION BY col, {own} ORDER BY rn) AS n FROM few, (SELECT unnest(['s', 't']) AS col)
+                WHERE len(list_filter(cuts, lambda x: x.stop <= rn AND ((x.col = 's' AND x.name = s) OR (x.col = 't' AND x.name = t)))) = 0)
+                WHERE n = CASE col WHEN 's' THEN 2501 ELSE 4001 END) AS e FROM cutting) WHERE e IS NOT NULL""",
+        "capped": "SELECT * FROM few WHERE len(list_filter((SELECT cuts FROM cutting ORDER BY i DESC LIMIT 1), lambda x: x.stop <= rn AND ((x.col = 's' AND x.name = s) OR (x.col = 't' AND x.name = t)))) = 0",
+        "vn": f"""SELECT pair_id, s, t, row_number() OVER (ORDER BY s, t, pair_id) AS rn, row_number() OVER (PARTITION BY s, t ORDER BY pair_id) = 1 AS forced, {tokens("concat_ws(' ', t, instruction, output)")} AS ts FROM capped""",
+        # Similar sets share one of their rarest tokens.
+        "vt": "SELECT rn, len(ts) AS n, unnest(ts) AS w FROM vn",
+        "vf": "SELECT w, count(*) AS df FROM vt GROUP BY w",
+        "vp": "SELECT rn, n, w FROM vt JOIN vf USING (w) QUALIFY row_number() OVER (PARTITION BY rn ORDER BY df, w) <= n - ceil(0.72::DOUBLE * n - 1e-9) + 1",
+        "vc": "SELECT DISTINCT x.rn AS a, y.rn FROM vp x JOIN vp y ON x.w = y.w AND x.rn < y.rn AND x.n >= 0.72::DOUBLE * y.n - 1e-9 AND y.n >= 0.72::DOUBLE * x.n - 1e-9",
+        "ve": f"SELECT a, c.rn FROM vc c JOIN vn x ON x.rn = c.a JOIN vn y ON y.rn = c.rn WHERE {_similar('x.ts', 'y.ts', 0.72)}",
+        "vn_walk": _dropped("vn", "ve"),
+        "chosen": "SELECT pair_id, s, t FROM vn WHERE NOT list_contains((SELECT dropped FROM vn_walk ORDER BY i DESC LIMIT 1), rn) QUALIFY row_number() OVER (ORDER BY rn) <= 6000",
+    }
+    sql = _with(f"SELECT pair_id, s AS source_id, t AS task, {split('pair_id')} AS split FROM chosen", parts)
+    for name in ("dn_walk", "cutting", "vn_walk"):
+        sql = sql.replace(f"{name} AS MATERIALIZED (", f"{name} AS (")
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def oracle_sql() -> dict[str, str]:
     o, i = metric("output"), metric("instruction")
     needles = f"list_append(list_sort({i})[1:5], '')"
@@ -334,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
             edges AS MATERIALIZED (SELECT b.rn, list(a.rn) AS before FROM nodes a JOIN nodes b ON a.rn < b.rn AND {_similar('a.ts', 'b.ts', 0.72)} GROUP BY b.rn)""",
             "SELECT pair_id, source_id, task FROM nodes n, done WHERE list_contains(kept, n.rn)"),
         "group_caps": _with("SELECT pos AS doc_id, pair_id, source_id, task FROM pairs QUALIFY row_number() OVER (PARTITION BY task ORDER BY pos, block, st, k) <= 4000"),
+        "dataset_build": _dataset(),
         "group_caps_all": f"""WITH RECURSIVE nexts AS MATERIALIZED ({PARTS['nexts']}), talks AS MATERIALIZED ({PARTS['talks']}),
             line AS MATERIALIZED (SELECT pair_id, source_id AS s, CASE WHEN pos % 3 = 0 THEN 'summary' ELSE 'qa' END AS t, row_number() OVER (ORDER BY pos) AS rn FROM talks),
             walk(i, kept) AS (SELECT 0::BIGINT, CAST([] AS STRUCT(s VARCHAR, t VARCHAR, rn BIGINT)[]) UNION ALL SELECT n.rn, CASE WHEN len(list_filter(kept, lambda x: x.s = n.s)) < 30 AND len(list_filter(kept, lambda x: x.t = n.t)) < 80
