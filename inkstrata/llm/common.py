@@ -13,6 +13,8 @@ from ..session import stash
 
 #: Above this many rows of (long) keys nothing is broadcast; a shuffle join takes over.
 BROADCAST_ROWS = 500_000
+#: Bits of the largest filter that stands for more keys (32 MB).
+FILTER_BITS = 1 << 28
 #: Up to this many rows, whatever their keys, a table is broadcast rather than split by its keys.
 SMALL_ROWS = 10_000
 #: A key is hot if it holds at least 1/HOT_SHARE of all rows, so there are never more than HOT_SHARE hot keys.
@@ -43,9 +45,28 @@ def utf8(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return pc.fill_null(batch.column(text), "").cast(pa.binary()).to_pylist()
 
 
-def by_size(df: DataFrame, keys: DataFrame, on: str | Sequence[str], how: str) -> DataFrame:
-    """Semi or anti join with ``keys`` on the right, broadcast only if a count shows that it is small."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
+def by_size(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """Inner, semi or anti join with ``keys`` on the right, broadcast only if a count shows that it is small.
+
+    Beyond that a filter of the keys (of bounded size) is broadcast, so that only rows that it lets through, the matching ones and a few
+    others, are shuffled: the texts of all others stay where they are.
+    """
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return df.join(F.broadcast(keys), on, how)
+    bits = 1 << 15
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    own = keys.select(place(on).alias("p")).distinct()
+    parts = own.groupBy(F.shiftright("p", 15).alias("_part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("_set"))
+    parts = stash(parts, "filter")  # FILTER_BITS / 32768 rows of 4 KB at most
+    rows = df.withColumn("_place", place(on)).withColumn("_part", F.shiftright("_place", 15)).join(F.broadcast(parts), "_part", "left")
+    byte = F.expr("conv(hex(substring(_set, int((_place & 32767) div 8) + 1, 1)), 16, 10)").cast("int")
+    hit = F.coalesce(F.expr("_place & 7").cast("int"), F.lit(0))
+    rows = rows.withColumn("_might", F.coalesce(F.call_function("shiftright", byte, hit).bitwiseAND(F.lit(1)) == 1, F.lit(False))).drop("_place", "_part", "_set")
+    some = rows.where("_might").drop("_might").join(keys, on, how)
+    return some if how != "left_anti" else rows.where("not _might").drop("_might").unionByName(some)
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) -> DataFrame:

@@ -64,6 +64,23 @@ def test_join_hot(spark, monkeypatch, small):
     assert common.join_hot(left, right, "k", "n", 100).count() == 100
 
 
+@pytest.mark.parametrize("small", [0, 10_000])
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 28])
+def test_by_size(spark, monkeypatch, small, bits):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", small)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.range(20_000).selectExpr("id AS k", "'t' || id AS text")
+    keys = spark.range(0, 60_000, 7).selectExpr("id AS k")
+    want = {k for k in range(20_000) if k % 7 == 0}
+    assert {r["k"] for r in common.by_size(rows, keys, "k", "left_semi").collect()} == want
+    anti = common.by_size(rows, keys, "k", "left_anti")
+    assert anti.columns == ["k", "text"] and {r["k"] for r in anti.collect()} == set(range(20_000)) - want
+    assert {(r["k"], r["v"]) for r in common.by_size(rows, keys.selectExpr("k", "k * 2 AS v"), "k", "inner").collect()} == {(k, 2 * k) for k in want}
+    odd = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
+    got = common.by_size(odd, spark.createDataFrame([("a",)], "k string"), "k", "left_anti").collect()
+    assert {r["k"] for r in got} == {None, "b"}
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(64)] + [(2000, 2000 + i) for i in range(1, 90)]
