@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions import text as T
-from ..session import stash
+from ..session import new_path, remove_at_end, stash
 
 #: Queries or terms are broadcast up to this many rows; beyond it they are shuffled, or taken in blocks.
 BROADCAST_ROWS = 200_000
 QUERY_BLOCK = 4_096
+#: Documents that a task holds while it reads stored queries.
+DOCUMENTS_HELD = 50_000
 
 
 @dataclass
@@ -139,47 +141,72 @@ def as_stored(embedding: Column) -> Column:
     return F.transform(embedding.cast("array<float>"), lambda x: x.cast("double"))
 
 
-def _block_top(frames: Iterator[pd.DataFrame], ids: list, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The k best documents of each batch for each query: a matrix product, and a sort of what can be among the best."""
+def _matrix(vectors: list, dim: int) -> np.ndarray:
+    out = np.zeros((len(vectors), dim))
+    for r, e in enumerate(vectors):
+        n = min(len(e), dim) if e is not None else 0
+        out[r, :n] = e[:n] if n else 0
+    return out
+
+
+def _best(docs: np.ndarray, data: list, ids: list, matrix: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The k best of some documents for each query: a matrix product, and a sort of what can be among the best."""
+    scores = _matrix(data, matrix.shape[1]) @ matrix.T
+    rounded = np.round(scores, 9)
+    for q, name in enumerate(ids):
+        best = np.lexsort((docs, -rounded[:, q]))[:k]
+        yield pd.DataFrame({"query_id": [name] * len(best), "doc_id": docs[best], "score": scores[best, q]})
+
+
+def _blocks(path: str, size: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, matrix) of stored queries, ``size`` at a time."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(path)
+    for batch in ds.dataset(folder, filesystem=store, format="parquet", exclude_invalid_files=True).to_batches(columns=["query_id", "embedding"], batch_size=size):
+        vectors = batch.column("embedding").to_pylist()
+        if len(vectors):
+            yield batch.column("query_id").to_pylist(), _matrix(vectors, max(1, *(len(e) for e in vectors)))
+
+
+def _task_top(frames: Iterator[pd.DataFrame], ids: list, matrix: np.ndarray | None, path: str | None, size: int, k: int) -> Iterator[pd.DataFrame]:
+    """Documents are held up to DOCUMENTS_HELD; stored queries are then read once for all of these."""
+    held: list[pd.DataFrame] = []
+
+    def flush() -> Iterator[pd.DataFrame]:
+        frame = pd.concat(held, ignore_index=True)
+        for names, m in [(ids, matrix)] if path is None else _blocks(path, size):
+            yield from _best(frame["doc_id"].to_numpy(), frame["embedding"].tolist(), names, m, k)
+
     for frame in frames:
-        if not len(frame):
-            continue
-        docs = frame["doc_id"].to_numpy()
-        data = np.zeros((len(frame), matrix.shape[1]))
-        for r, e in enumerate(frame["embedding"]):
-            n = min(len(e), matrix.shape[1]) if e is not None else 0
-            data[r, :n] = e[:n] if n else 0
-        scores = data @ matrix.T
-        rounded = np.round(scores, 9)
-        for q, name in enumerate(ids):
-            best = np.lexsort((docs, -rounded[:, q]))[:k]
-            yield pd.DataFrame({"query_id": [name] * len(best), "doc_id": docs[best], "score": scores[best, q]})
+        if len(frame):
+            held.append(frame)
+        if held and sum(map(len, held)) >= (DOCUMENTS_HELD if path else 1):
+            yield from flush()
+            held = []
+    if held:
+        yield from flush()
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score) by the dot product, from (doc_id, embedding) and (query_id, embedding).
 
-    Queries go to the tasks in blocks of bounded size; every task sends k rows a query at most.
+    The vectors are read once. Up to QUERY_BLOCK queries go to the tasks with the plan; more are stored in the shared folder, from which
+    each task reads them in blocks. Every task sends k rows a query at most for the documents that it holds at once.
     """
+    spark = vectors.sparkSession
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
-    out, block, n_blocks = None, [], 0
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            part = _dense_block(vectors, block, k, kinds)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = _dense_block(vectors, block, k, kinds)
-        out = part if out is None else out.unionByName(part)
-    return ranked(out, k)
-
-
-def _dense_block(vectors: DataFrame, block: list, k: int, kinds: str) -> DataFrame:
-    dim = max((len(r["embedding"]) for r in block), default=1)
-    matrix = np.zeros((len(block), dim))
-    for i, r in enumerate(block):
-        matrix[i, : len(r["embedding"])] = r["embedding"]
-    return vectors.select("doc_id", "embedding").mapInPandas(partial(_block_top, ids=[r["query_id"] for r in block], matrix=matrix, k=k), kinds)
+    own = queries.select("query_id", "embedding")
+    few, path, ids, matrix = own.limit(QUERY_BLOCK + 1).collect(), None, [], None
+    if len(few) > QUERY_BLOCK:
+        path = new_path(spark, "queries")
+        own.write.parquet(path)
+        remove_at_end(spark, path)
+    else:
+        ids, matrix = [r["query_id"] for r in few], _matrix([r["embedding"] for r in few], max((len(r["embedding"]) for r in few), default=1))
+    top = vectors.select("doc_id", "embedding").mapInPandas(partial(_task_top, ids=ids, matrix=matrix, path=path, size=QUERY_BLOCK, k=k), kinds)
+    return ranked(top, k)
 
 
 def fuse(*lists: DataFrame, k: int = 10, rrf_k: int = 60) -> DataFrame:
