@@ -80,7 +80,17 @@ def stash(df: DataFrame, tag: str = "stash") -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     remove_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Removes tables that ``stash`` gave, once all that is computed from them has itself been written."""
+    for df in stashed:
+        if path := getattr(df, "_stashed", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
