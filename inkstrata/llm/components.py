@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stash
+from ..session import discard, stash
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,12 +35,14 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = _least(large)
+        last = cur
         cur = stash(
             small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v"))).distinct(),
             "edges",
         )
         new = _mark(cur)
+        discard(last)
         if new == mark:
             break
         mark = new
