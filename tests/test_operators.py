@@ -444,3 +444,13 @@ def test_bundled_settings(tmp_path):
     (tmp_path / "l.json").write_text("[]")
     with pytest.raises(TypeError):
         config.load_settings(tmp_path / "l.json")
+
+
+def test_stash_and_discard(spark):
+    from pathlib import Path
+
+    from inkstrata.session import discard, stash
+
+    kept, gone = stash(spark.range(5)), stash(spark.range(7))
+    discard(gone, spark.range(3))
+    assert kept.count() == 5 and Path(kept._stashed.removeprefix("file://")).exists() and not Path(gone._stashed.removeprefix("file://")).exists()
