@@ -48,14 +48,47 @@ def shingle_hashes(text: bytes, words: int = SHINGLE) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
 
 
+def votes(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """How many of the hashes have each of 64 * ``words`` bits set. Bits beyond the hashes' own are those of hashes of them."""
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        part = hashes[at : at + (1 << 15)]
+        for w in range(words):
+            ones[w] += np.unpackbits(_again(part, w).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return ones.ravel()
+
+
+def _again(hashes: np.ndarray, w: int) -> np.ndarray:
+    """The hashes themselves for w = 0, else others made of them (the finalizer of SplitMix64)."""
+    if not w:
+        return hashes
+    out = hashes + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The fingerprint of 64 bits: 1 where more than half of n hashes have it. Unsigned."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def simhash(text: bytes, words: int = SHINGLE) -> int:
     """A bit is 1 if it is set in more than half the hashes. Unsigned."""
     hashes = shingle_hashes(text, words)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(votes(hashes), len(hashes))
+
+
+def ball_points(ones: np.ndarray, n: int, bits: int, segments: int, flips: int) -> np.ndarray:
+    """Of each segment of a fingerprint: itself, and each variant with one of its ``flips`` least certain bits flipped.
+
+    The bits in which alike texts differ are those with votes near the half, so the whole ball of ``bits`` variants isn't needed.
+    Segments that differ in up to two such bits meet in the middle. A point's upper bits are the segment's number.
+    """
+    over = (2 * ones[: segments * bits] - n).reshape(segments, bits)
+    own = ((over > 0) << np.arange(bits)).sum(axis=1) + (np.arange(segments) << bits)
+    unsure = np.argsort(np.abs(over), axis=1, kind="stable")[:, :flips]
+    return np.concatenate([own[:, None], own[:, None] ^ (1 << unsure)], axis=1).ravel()
 
 
 def _prints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,31 @@ def test_the_pipelines_stage_drops_a_copy_at_0_8(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
 
 
+def test_candidates_come_from_simhash_and_balls():
+    from inkstrata.llm import simhash
+
+    words = [f"w{i}" for i in range(300)]
+    members = jaccard.shingle_set(" ".join(words).encode())
+    mark, points = jaccard.fingerprint(members, 20)
+    assert mark == simhash.simhash(" ".join(words).encode(), 5)  # no shingle is repeated
+    assert len(set(points.tolist())) == jaccard.SEGMENTS * (1 + jaccard.FLIPS)
+    own = points.reshape(jaccard.SEGMENTS, -1)
+    assert all(bin(int(p) ^ int(r[0])).count("1") == 1 and int(p) >> 20 == k for k, r in enumerate(own) for p in r[1:])
+
+
+def test_pairs_just_over_0_8_meet():
+    rng = random.Random(8)
+    met = 0
+    for n in range(300):
+        words = [f"{n}w{i}" for i in range(104)]  # 100 shingles
+        other = words[:]
+        for i in rng.sample(range(5, 50, 5), 1) + rng.sample(range(55, 100, 5), 1):
+            other[i] = "new"  # 90 of 110 stay
+        marks, points = zip(*(jaccard.fingerprint(jaccard.shingle_set(" ".join(x).encode()), 24) for x in (words, other)))
+        met += (marks[0] ^ marks[1]).bit_count() <= jaccard.RADIUS and bool(set(points[0].tolist()) & set(points[1].tolist()))
+    assert met >= 270
+
+
 def test_nothing_and_edges(spark):
     assert jaccard.drop_near(edges.empty(spark)).count() == 0
     assert jaccard.drop_near(edges.table(spark)).columns == edges.table(spark).columns
