@@ -97,3 +97,21 @@ def test_pairs_just_over_0_8_meet():
 def test_nothing_and_edges(spark):
     assert jaccard.drop_near(edges.empty(spark)).count() == 0
     assert jaccard.drop_near(edges.table(spark)).columns == edges.table(spark).columns
+
+
+def test_pairs_compared_follow_the_texts_not_the_pairs_of_a_group(spark, monkeypatch):
+    compared, whole = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets: (compared.append(pairs.count()), whole(pairs, sets))[1])
+    for n in (100, 200):
+        words, compared[:] = [f"w{i}" for i in range(100)], []
+        rows = [(k, " ".join([*words[: k % 90], f"new{k}", *words[k % 90 + 1 :]])) for k in range(n)]  # 86 shingles of 106 at least are common
+        got = jaccard.drop_near(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        assert [r["doc_id"] for r in got.collect()] == [0]
+        assert n - 1 <= sum(compared) <= 4 * n
+
+
+def test_pairs_that_are_less_likely_are_compared_too(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{i if i != 10 * (k % 9) + 5 else -k}" for i in range(100))) for k in range(12)]
+    monkeypatch.setattr(jaccard, "_likely", lambda pairs: pairs.select("u", "v").limit(0))
+    got = jaccard.drop_near(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in got.collect()] == brute_keep(rows) == [0]
