@@ -15,8 +15,8 @@ def sections(docs: DataFrame, text: str = "text", told: str | None = None) -> Da
     Without a heading line the whole text is one section, as it is. Steps are columns of their own, so that Spark computes each
     once (an expression that is used inside a lambda is evaluated for every element).
     """
-    lines = docs.withColumn("_text", T.text_of(F.col(text))).withColumn("_lines", F.split("_text", T.LINE_BREAK, -1))
-    named = lines.withColumn("_names", F.transform(F.transform("_lines", T.strip), T.heading)).withColumn("_first", T.detect_section(F.col("_text"), F.col(told) if told else None))
+    lines = docs.withColumn("_text", T.text_of(F.col(text))).withColumn("_lines", F.split("_text", T.LINE_BREAK, -1)).withColumn("_low", F.lower("_text"))
+    named = lines.withColumn("_names", F.transform(F.transform("_lines", T.strip), T.heading)).withColumn("_first", T.detect_section(F.col("_text"), F.col(told) if told else None, F.col("_low")))
     at = F.filter(F.transform("_names", lambda n, i: F.when(n.isNotNull(), i)), lambda i: i.isNotNull())
     placed = named.withColumn("_starts", F.concat(F.array(F.lit(-1)), at))
 
@@ -28,7 +28,7 @@ def sections(docs: DataFrame, text: str = "text", told: str | None = None) -> Da
     blocks = F.transform(F.transform("_starts", block), lambda x: F.struct(x["section"].alias("section"), T.strip(x["body"]).alias("body")))
     whole = F.array(F.struct(F.col("_first").alias("section"), F.col("_text").alias("body")))
     parts = F.when(F.size("_starts") == 1, whole).otherwise(F.filter(blocks, lambda x: x["body"] != ""))
-    return placed.withColumn("parts", parts).drop("_text", "_lines", "_names", "_first", "_starts")
+    return placed.withColumn("parts", parts).drop("_text", "_lines", "_low", "_names", "_first", "_starts")
 
 
 def starts(n: Column, c: Chunking = Chunking()) -> Column:
@@ -39,13 +39,14 @@ def starts(n: Column, c: Chunking = Chunking()) -> Column:
 
 def rated(sents: Column) -> Column:
     """array<struct<minus, text>> of sentences: the score with its sign turned, and the proposition's text."""
-    return F.transform(F.transform(sents, T.without_speaker), lambda own: F.struct((-T.own_score(own)).alias("minus"), T.own_text(own).alias("text")))
+    both = F.transform(F.transform(sents, T.without_speaker), lambda own: F.struct(own.alias("own"), F.lower(own).alias("low")))
+    return F.transform(both, lambda x: F.struct((-T.own_score(x["own"], x["low"])).alias("minus"), T.own_text(x["own"]).alias("text")))
 
 
 def best(rates: Column, most: int = 8, min_score: float = 0.45) -> Column:
     """array<struct<text, source_sentence_index, score>>: the best-rated of a window; the index counts within it."""
     numbered = F.transform(rates, lambda x, i: F.struct(x["minus"].alias("minus"), i.alias("i"), x["text"].alias("text")))
-    good = F.slice(F.array_sort(F.filter(numbered, lambda x: -x["minus"] >= min_score)), 1, most)
+    good = F.slice(F.sort_array(F.filter(numbered, lambda x: -x["minus"] >= min_score)), 1, most)
     return F.transform(good, lambda x: F.struct(x["text"].alias("text"), x["i"].alias("source_sentence_index"), F.round(-x["minus"], 3).alias("score")))
 
 
@@ -60,7 +61,7 @@ def chunk(docs: DataFrame, c: Chunking = Chunking(), told: str | None = None) ->
     end_sentence, propositions. (pos, block, start_sentence) is their order.
 
     If there is a column metadata (map<string,string>), its section wins over what the text says, and it is kept with the chunk's.
-    Sentences are found and rated once a section; windows are slices of these. (From a plain explode the optimizer infers a filter
+    Sentences are found and rated once a section; windows are slices of these, and have no white space to squeeze again. (From a plain explode the optimizer infers a filter
     on the array's size and so computes the array twice.)
     """
     meta = ["metadata"] if "metadata" in docs.columns else []
@@ -70,7 +71,7 @@ def chunk(docs: DataFrame, c: Chunking = Chunking(), told: str | None = None) ->
     rows = parts.withColumn("sents", T.sentences(F.col("body"))).withColumn("rates", rated(F.col("sents"))).withColumn("starts", starts(F.size("sents"), c))
     window = F.transform("starts", lambda i: F.struct(i.alias("start"), F.slice("sents", i + 1, F.lit(c.window)).alias("own"), F.slice("rates", i + 1, F.lit(c.window)).alias("rates")))
     wide = rows.select("pos", "source_id", "block", "section", *meta, F.explode_outer(window).alias("w")).where("w is not null")
-    wide = wide.withColumn("line", T.squeeze(F.array_join("w.own", " "))).where(F.length("line") >= c.min_chars)
+    wide = wide.withColumn("line", F.array_join("w.own", " ")).where(F.length("line") >= c.min_chars)
     cut = F.when(F.length("line") > c.max_chars, F.regexp_replace(F.substring("line", 1, c.max_chars), r" [^ ]*\z", "")).otherwise(F.col("line"))
     wide = wide.withColumn("text", cut).withColumn("start_sentence", F.col("w.start")).withColumn("end_sentence", F.col("w.start") + F.size("w.own") - 1)
     return wide.select(
