@@ -19,3 +19,36 @@ def test_fast_forms_equal_the_patterns(spark):
         T.plain(t).alias("d1"), T.squeeze(F.regexp_replace(T.strip(F.lower(t)), r"(?U)[^a-z0-9\s%]+", " ")).alias("d2"),
     )
     assert both.where("a1 != a2 or b1 != b2 or c1 != c2 or d1 != d2").limit(5).collect() == []
+
+
+def _pairs_by_hand(sets: dict, threshold: float) -> set:
+    return {(a, b) for a in sets for b in sets if a < b and (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= threshold}
+
+
+def test_join_passes_on_only_likely_pairs(spark, monkeypatch):
+    """Sets that share rare tokens but little else meet in the join and don't leave it; all similar ones do."""
+    import random
+
+    from inkstrata.operators import similarity
+
+    r = random.Random(5)
+    sets = {}
+    for i in range(400):
+        sets[i] = set(sets[i - 1]) ^ {f"c{r.randrange(300)}" for _ in range(r.randrange(12))} if i % 4 == 3 else {f"c{r.randrange(300)}" for _ in range(80)} | {f"rare{i // 100}", f"rarer{i // 40}"}
+    sets |= {400: set(), 401: set(), 402: {"x"}, 403: {"x"}}
+    made, real = {}, similarity.stash
+    monkeypatch.setattr(similarity, "stash", lambda df, tag="stash": made.setdefault(tag, real(df, tag)))
+    rows = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "ord long, tokens array<string>")
+    found = {(x["a"], x["b"]) for x in similarity.jaccard_pairs(rows, 0.72).collect()}
+    assert found == _pairs_by_hand(sets, 0.72)
+    assert made["candidates"].count() <= 3 * len(found)
+
+
+def test_rows_alone_in_their_block_are_not_compared(spark, monkeypatch):
+    from inkstrata.operators import similarity
+
+    made, real = {}, similarity.stash
+    monkeypatch.setattr(similarity, "stash", lambda df, tag="stash": made.setdefault(tag, real(df, tag)))
+    rows = spark.createDataFrame([(i, f"b{i % 90}", ["a", "b", "c", f"x{i % 3}"]) for i in range(93)], "ord long, block string, tokens array<string>")
+    assert {(x["a"], x["b"]) for x in similarity.jaccard_pairs(rows, 0.88, "ord", "block").collect()} == {(0, 90), (1, 91), (2, 92)}
+    assert made["sets"].count() == 6 and made["candidates"].count() == 0  # equal sets are not listed as pairs
