@@ -52,3 +52,17 @@ def test_rows_alone_in_their_block_are_not_compared(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"b{i % 90}", ["a", "b", "c", f"x{i % 3}"]) for i in range(93)], "ord long, block string, tokens array<string>")
     assert {(x["a"], x["b"]) for x in similarity.jaccard_pairs(rows, 0.88, "ord", "block").collect()} == {(0, 90), (1, 91), (2, 92)}
     assert made["sets"].count() == 6 and made["candidates"].count() == 0  # equal sets are not listed as pairs
+
+
+def test_groups_under_their_cap_are_not_brought_together(spark):
+    """A window over a whole group is left out where the group is under its cap; cuts at large caps are those of the scan."""
+    from inkstrata.config import Selection
+    from inkstrata.operators import selection
+
+    rows = spark.range(3000).repartition(8).select(F.col("id").alias("ord"), F.lit("s").alias("source_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("task"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    kept = selection.group_caps(rows, Selection(max_per_source=10**9, max_per_source_task=10**9, max_per_task=1500))
+    assert "Window" not in plan(kept)
+    assert sorted(r["ord"] for r in kept.collect()) == [i for i in range(3000) if i % 3 == 0 or i < 2250]
+    assert selection._overflow(rows, "task", 10**6).count() == 0
+    assert [tuple(r) for r in selection._overflow(rows, "task", 1200).collect()] == [("b", 1801)]
