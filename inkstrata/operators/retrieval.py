@@ -6,12 +6,14 @@ made in another order differ in their last digits, and equal documents must tie.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from ..session import new_path, remove_at_end, stash
 #: Queries or terms are broadcast up to this many rows; beyond it they are shuffled, or taken in blocks.
 BROADCAST_ROWS = 200_000
 QUERY_BLOCK = 4_096
+#: (document, query) pairs that a task of the scoring step sums up at most, if all match; and its tasks at most.
+PAIRS_A_TASK, MOST_TASKS = 500_000, 20_000
 #: Documents that a task holds while it reads stored queries.
 DOCUMENTS_HELD = 50_000
 
@@ -100,8 +104,11 @@ def bm25_scores(index: Index, queries: DataFrame, c: Retrieval = Retrieval()) ->
     weighted = query_terms(queries).join(index.df, "term").crossJoin(F.broadcast(index.stats)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("w"))
     norm = c.k1 * (1 - c.b + c.b * F.greatest("len", F.lit(1)) / F.greatest("avgdl", F.lit(1e-9)))
     part = F.col("w") * (F.col("tf") * (c.k1 + 1) / (F.col("tf") + norm))
-    # Dealt by document once, so a document's scores for all queries, and their ranks within a task, need no other shuffle.
-    return index.postings.repartition("doc_id").join(_small(weighted), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
+    # Dealt by document once, so a document's scores for all queries, and their ranks within a task, need no other shuffle. Postings are small
+    # and the pairs that they make are many, so the number of tasks follows the pairs; it is a given number, which Spark doesn't lessen.
+    pairs = index.docs.count() * queries.count()
+    tasks = min(MOST_TASKS, max(index.docs.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS_A_TASK)))
+    return index.postings.repartition(tasks, "doc_id").join(_small(weighted), "term").groupBy("doc_id", "query_id").agg(F.sum(part).alias("score"))
 
 
 def bm25(index: Index, queries: DataFrame, k: int = 10, c: Retrieval = Retrieval(), pad: bool = True) -> DataFrame:
@@ -112,6 +119,7 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, c: Retrieval = Retrieval
     hits = ranked(bm25_scores(index, queries, c), k).select("query_id", "doc_id", "score", "rank")
     if not pad:
         return hits
+    hits = stash(hits, "hits")  # k rows a query, used three times
     short = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
     least = index.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
     spare = short.crossJoin(F.broadcast(least)).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")  # at most 2 k rows a query
@@ -130,10 +138,24 @@ def hash_weights(docs: DataFrame, dim: int = 128) -> DataFrame:
 
 
 def hash_embeddings(docs: DataFrame, dim: int = 128) -> DataFrame:
-    """(doc_id, embedding array<double>); all zero without tokens."""
-    found = hash_weights(docs, dim).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("m"))
-    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", full.alias("embedding"))
+    """(doc_id, embedding array<double>); all zero without tokens. What hash_weights gives, within a row: no token is shuffled."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _counted(docs).select("doc_id", "tokens").mapInArrow(partial(_hashed, dim=dim), f"doc_id {kind}, embedding array<double>")
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Each different token of a batch is hashed once; sums of signs are whole numbers, so their order doesn't matter."""
+    for batch in batches:
+        listed = batch.column("tokens")
+        words, rows = listed.flatten().dictionary_encode(), len(listed)
+        digests = [hashlib.sha256(w.encode()).digest() for w in words.dictionary.to_pylist()]
+        index = np.array([int.from_bytes(x[:4], "little") % dim for x in digests], dtype=np.int64)
+        sign = np.array([1.0 if x[4] % 2 == 0 else -1.0 for x in digests])
+        code, row = words.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(rows), np.diff(listed.offsets.to_numpy()))
+        out = np.bincount(row * dim + index[code], sign[code], rows * dim).reshape(rows, dim) if len(code) else np.zeros((rows, dim))
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * dim), pa.array((out / np.where(norm == 0, 1, norm)).ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), vectors], ["doc_id", "embedding"])
 
 
 def as_stored(embedding: Column) -> Column:

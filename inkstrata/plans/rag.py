@@ -14,12 +14,17 @@ from ..session import stash
 RUN, GRAM = 5, 3
 
 
+def embedded(docs: DataFrame, queries: DataFrame, k: int, c: Retrieval = Retrieval()) -> DataFrame:
+    """The ranking by hashed embeddings alone."""
+    asked = retrieval.hash_embeddings(queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text")), c.dim).withColumnRenamed("doc_id", "query_id")
+    return retrieval.dense(retrieval.hash_embeddings(docs, c.dim), asked, k)
+
+
 def rankings(docs: DataFrame, queries: DataFrame, k: int, c: Retrieval = Retrieval()) -> dict[str, DataFrame]:
     """bm25, dense and hybrid-rrf: (query_id, rank, doc_id, score), from docs (doc_id, text) and queries (query_id, query)."""
     pool = max(c.pool, k)
     lexical = stash(retrieval.bm25(retrieval.index_for(docs, queries), queries, pool, c), "bm25")
-    asked = retrieval.hash_embeddings(queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text")), c.dim).withColumnRenamed("doc_id", "query_id")
-    vectors = stash(retrieval.dense(retrieval.hash_embeddings(docs, c.dim), asked, pool), "dense")
+    vectors = stash(embedded(docs, queries, pool, c), "dense")
     cut = lambda x: x.where(F.col("rank") <= k)
     return {"bm25": cut(lexical), "dense": cut(vectors), "hybrid-rrf": retrieval.fuse(lexical, vectors, k=k, rrf_k=c.rrf_k)}
 

@@ -287,7 +287,7 @@ def hash_embed_dims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _item(rag.rankings(_docs(spark, d), _queries(spark, d), TOP)["dense"])
+    return _item(rag.embedded(_docs(spark, d), _queries(spark, d), TOP))
 
 
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:

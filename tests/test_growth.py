@@ -66,3 +66,26 @@ def test_groups_under_their_cap_are_not_brought_together(spark):
     assert sorted(r["ord"] for r in kept.collect()) == [i for i in range(3000) if i % 3 == 0 or i < 2250]
     assert selection._overflow(rows, "task", 10**6).count() == 0
     assert [tuple(r) for r in selection._overflow(rows, "task", 1200).collect()] == [("b", 1801)]
+
+
+def test_embeddings_shuffle_no_token(spark):
+    from inkstrata.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "One two, TWO three 5% ſK İx"), (2, ""), (3, None), (4, "é !"), (5, "two " * 300)], "doc_id long, text string")
+    found = retrieval.hash_embeddings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    weights = {(r["doc_id"], r["idx"]): r["weight"] for r in retrieval.hash_weights(docs).collect()}
+    got = {(r["doc_id"], i): w for r in found.collect() for i, w in enumerate(r["embedding"]) if w}
+    assert got == weights and sorted(r["doc_id"] for r in found.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
+    """However small the postings are, a task sums up no more than PAIRS_A_TASK pairs."""
+    from inkstrata.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PAIRS_A_TASK", 100)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    queries = spark.createDataFrame([(i, "a b") for i in range(10)], "query_id long, query string")
+    scores = retrieval.bm25_scores(retrieval.index_for(docs, queries), queries)
+    sizes = [r["n"] for r in scores.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 25 and max(sizes) <= 300
